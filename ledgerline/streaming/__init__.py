@@ -1,0 +1 @@
+"""Empty on purpose: every operator this package covers is a batch recompute."""
