@@ -15,19 +15,20 @@ def log_amount(amount: Column) -> Column:
     return F.when(amount > -1.0, F.log1p(amount))
 
 
-def bin_by_edges(value: Column, edges: list[Column]) -> Column:
-    """Right-closed bins with the lowest edge included; NULL outside the edges.
+def bin_by_edges(value: Column, edges: Column) -> Column:
+    """Right-closed bins by an ascending array of edges; the lowest edge belongs to bin 0.
 
-    Equal edges count once. With fewer than two distinct edges there is no bin.
+    Equal edges count once. NULL outside the edges or with fewer than two distinct ones. ``edges``
+    enters the expression once, so it may be a scalar subquery.
     """
-    first, last = edges[0], edges[-1]
-    bin_number = F.lit(0)
-    for left, right in zip(edges[:-1], edges[1:]):
-        # `left` opens a bin of its own when it is above the lowest edge and below the next one.
-        opens_bin = (left > first) & (left < right)
-        bin_number = bin_number + F.when(opens_bin & (value > left), 1).otherwise(0)
-    inside = (value >= first) & (value <= last) & (first < last)
-    return F.when(inside, bin_number).cast("int")
+
+    def number(e: Column) -> Column:
+        first, last = F.get(e, F.lit(0)), F.element_at(e, -1)
+        passed = F.filter(e, lambda x: (x > first) & (x < last) & (x < value))
+        inside = (value >= first) & (value <= last) & (first < last)
+        return F.when(inside, F.size(F.array_distinct(passed)))
+
+    return F.transform(F.array(edges), number)[0].cast("int")
 
 
 def bin_fixed(value: Column) -> Column:
