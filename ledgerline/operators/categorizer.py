@@ -34,13 +34,14 @@ TOLERANCE = 1e-4
 def term_statistics(df: DataFrame, text: str, min_documents: int = MIN_DOCUMENTS, max_terms: int = MAX_TERMS) -> DataFrame:
     """``term``, ``df`` (rows with the term) and smooth ``idf``, for the most frequent terms."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN_PATTERN), F.lit(0))
-    # Terms of a row are counted within the row first: one entry per row and distinct term.
-    terms = (
-        df.select(tokens.alias("tokens"))
-        .select("tokens", F.explode(F.array_distinct("tokens")).alias("term"))
-        .select("term", F.size(F.filter("tokens", lambda t: t == F.col("term"))).alias("times"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    # Each token counts once for tf, each distinct token of a row once for df; one pass, one shuffle.
+    entries = F.concat(
+        F.transform("tokens", lambda t: F.struct(t.alias("term"), one.alias("tf"), none.alias("df"))),
+        F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("term"), none.alias("tf"), one.alias("df"))),
     )
-    counted = terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("times").alias("tf"))
+    terms = df.select(tokens.alias("tokens")).select(F.inline(entries))
+    counted = terms.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
     total = df.agg(F.count("*").alias("n")).scalar()
     idf = F.log((1 + total) / (1 + F.col("df"))) + 1
     return (
