@@ -44,11 +44,11 @@ def risk_prev_delta(spark, sf):
 
 @query(
     "risk_rolling",
-    f"""{X} SELECT txn_id, roll_cnt_N AS "roll_cnt_N", {r('roll_sum_N')} AS "roll_sum_N", {r('roll_max_N')} AS "roll_max_N", {r('roll_mean_N')} AS "roll_mean_N", {r('roll_std_N')} AS "roll_std_N" FROM x""",
+    f"""{X} SELECT txn_id, roll_cnt_N AS "roll_cnt_N", {r('roll_sum_N')} AS "roll_sum_N", {r('roll_max_N')} AS "roll_max_N", {r('roll_mean_N', 6)} AS "roll_mean_N", {r('roll_std_N', 6)} AS "roll_std_N" FROM x""",
 )
 def risk_rolling(spark, sf):
     names = ["roll_sum_N", "roll_max_N", "roll_mean_N", "roll_std_N"]
-    return rounded(_features(spark, sf).select("txn_id", "roll_cnt_N", *names), **dict.fromkeys(names, 4))
+    return rounded(_features(spark, sf).select("txn_id", "roll_cnt_N", *names), roll_sum_N=4, roll_max_N=4, roll_mean_N=6, roll_std_N=6)
 
 
 @query("risk_amount_z", f"{X} SELECT txn_id, {r('amount_z', 6)} AS amount_z FROM x")

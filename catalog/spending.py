@@ -426,7 +426,8 @@ def anomaly_features(spark, sf):
 
 
 def _reasons(spark, sf):
-    return anomalies.anomaly_reasons(anomalies.anomaly_features(event_facts(spark, sf)))
+    facts = event_facts(spark, sf)
+    return anomalies.anomaly_reasons(anomalies.anomaly_features(facts), facts)
 
 
 @query("anomaly_reasons", f"{ANOMALY} SELECT txn_id, reasons FROM why")
@@ -480,8 +481,7 @@ def log_amount(spark, sf):
 
 
 def _bins(spark, sf, **options):
-    rows = events(spark, sf)
-    return longs(rows.select("txn_id", features.amount_bin(rows, **options).alias("amount_bin")), "amount_bin")
+    return longs(features.amount_bin(events(spark, sf), **options).select("txn_id", "amount_bin"), "amount_bin")
 
 
 def _bin_sql(q: int) -> str:

@@ -15,20 +15,18 @@ def log_amount(amount: Column) -> Column:
     return F.when(amount > -1.0, F.log1p(amount))
 
 
-def bin_by_edges(value: Column, edges: Column) -> Column:
-    """Right-closed bins by an ascending array of edges; the lowest edge belongs to bin 0.
+def bin_by_edges(value: Column, edges: list[float]) -> Column:
+    """Right-closed bins by ascending edges; the lowest edge belongs to bin 0.
 
-    Equal edges count once. NULL outside the edges or with fewer than two distinct ones. ``edges``
-    enters the expression once, so it may be a scalar subquery.
+    Equal edges count once. NULL outside the edges or with fewer than two distinct ones.
     """
-
-    def number(e: Column) -> Column:
-        first, last = F.get(e, F.lit(0)), F.element_at(e, -1)
-        passed = F.filter(e, lambda x: (x > first) & (x < last) & (x < value))
-        inside = (value >= first) & (value <= last) & (first < last)
-        return F.when(inside, F.size(F.array_distinct(passed)))
-
-    return F.transform(F.array(edges), number)[0].cast("int")
+    distinct = sorted(set(edges))
+    if len(distinct) < 2:
+        return F.lit(None).cast("int")
+    number = F.lit(0)
+    for edge in distinct[1:-1]:
+        number = number + (value > edge).cast("int")
+    return F.when(value.between(distinct[0], distinct[-1]), number).cast("int")
 
 
 def bin_fixed(value: Column) -> Column:

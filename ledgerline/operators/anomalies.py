@@ -10,7 +10,7 @@ from ledgerline.operators.features import calendar_features
 from ledgerline.operators.forest import fit_isolation_forest
 from ledgerline.operators.insights import row_order
 from ledgerline.operators.lookup import attach_group_stats
-from ledgerline.operators.quantiles import exact_quantiles, scalar_quantile
+from ledgerline.operators.quantiles import exact_quantiles, quantile_value
 from ledgerline.session import stage
 
 # Features in model order, and the limits behind the reasons.
@@ -58,29 +58,31 @@ def daily_counts(facts: DataFrame) -> DataFrame:
     return facts.groupBy(F.to_date("timestamp").alias("day")).agg(F.count("*").alias("n"))
 
 
-def anomaly_reasons(features: DataFrame) -> DataFrame:
-    """``reasons``: why a row stands out, ``pattern_based`` when nothing simple applies."""
-    high_amount = scalar_quantile(features, "amount", HIGH_AMOUNT_SHARE)
+def anomaly_reasons(features: DataFrame, facts: DataFrame) -> DataFrame:
+    """``reasons``: why a row stands out, ``pattern_based`` when nothing simple applies.
+
+    The limits come from ``facts``, the rows the features were built from.
+    """
+    high_amount = F.lit(quantile_value(facts, "amount", HIGH_AMOUNT_SHARE)).cast("double")
     # One row per calendar day, so the built-in percentile holds a small set.
-    busy_day = daily_counts(features).agg(F.percentile("n", F.lit(BUSY_DAY_SHARE)).alias("q")).scalar()
-    limits = features.withColumns({"_high_amount": high_amount, "_busy_day": busy_day})
+    busy_day = F.lit(daily_counts(facts).agg(F.percentile("n", F.lit(BUSY_DAY_SHARE))).first()[0]).cast("double")
     hits = F.array_compact(
         F.array(
             F.when(F.col("is_rare_merchant") == 1, F.lit("rare_merchant")),
-            F.when(F.col("amount") > F.col("_high_amount"), F.lit("high_amount")),
-            F.when(F.col("daily_txn_count") > F.col("_busy_day"), F.lit("high_frequency_day")),
+            F.when(F.col("amount") > high_amount, F.lit("high_amount")),
+            F.when(F.col("daily_txn_count") > busy_day, F.lit("high_frequency_day")),
             F.when(F.col("hour") < EARLY_HOUR, F.lit("unusual_hour")),
         )
     )
     reasons = F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit("pattern_based")))
-    return limits.withColumn("reasons", reasons).drop("_high_amount", "_busy_day")
+    return features.withColumn("reasons", reasons)
 
 
 def multi_dim_anomalies(
     facts: DataFrame, contamination: float = 0.05, trees: int = 100, top: int | None = 50, seed: int = 42
 ) -> DataFrame:
     """The most anomalous rows by an isolation forest fitted on the same facts, with reasons."""
-    features = stage(anomaly_reasons(anomaly_features(facts)), "anomaly-features")
+    features = stage(anomaly_reasons(anomaly_features(facts), facts), "anomaly-features")
     names = [f for f in ANOMALY_FEATURES if f in features.columns]
     shown = [c for c in ["txn_id", "timestamp", "merchant", "amount", "pred_category"] if c in features.columns]
     if features.count() < MIN_ROWS:

@@ -29,34 +29,27 @@ def calendar_features(df: DataFrame) -> DataFrame:
     )
 
 
-def quantile_edges(df: DataFrame, q: int) -> DataFrame:
-    """One row with the ``q + 1`` exact quantile edges of ``amount``, to save with a model."""
-    shares = [i / q for i in range(q + 1)]
-    return exact_quantiles(df, "amount", shares).select(F.col("q").alias("edges"))
+def quantile_edges(df: DataFrame, q: int) -> list[float]:
+    """The ``q + 1`` exact quantile edges of ``amount``, to save with a model; none for an empty table."""
+    row = exact_quantiles(df, "amount", [i / q for i in range(q + 1)]).first()
+    return [] if row is None else [float(edge) for edge in row["q"]]
 
 
-def amount_bin(df: DataFrame, bins: str = "quantile", q: int = 4, edges: list[float] | None = None) -> Column:
-    """Bin number of ``amount``: by the quantiles of ``df``, by given edges, or by fixed ones."""
+def amount_bin(df: DataFrame, bins: str = "quantile", q: int = 4, edges: list[float] | None = None) -> DataFrame:
+    """``df`` with ``amount_bin``: by the quantiles of ``df``, by given edges, or by fixed ones."""
     amount = F.col("amount")
-    if edges is not None:
-        return bin_by_edges(amount, F.array(*[F.lit(float(e)) for e in edges]))
-    if bins == "fixed":
-        return bin_fixed(amount)
-    if bins != "quantile":
+    if edges is None and bins == "fixed":
+        return df.withColumn("amount_bin", bin_fixed(amount))
+    if edges is None and bins != "quantile":
         raise ValueError(f"bins must be 'quantile' or 'fixed', not {bins!r}")
-    return bin_by_edges(amount, quantile_edges(df, q).scalar())
+    return df.withColumn("amount_bin", bin_by_edges(amount, quantile_edges(df, q) if edges is None else edges))
 
 
 def model_features(df: DataFrame, bins: str = "quantile", q: int = 4, edges: list[float] | None = None) -> DataFrame:
     """The numeric features of the category model on clean rows."""
     ts = F.col("timestamp")
-    return df.withColumns(
-        {
-            "day_of_week": times.day_of_week(ts),
-            "hour": F.hour(ts),
-            "log_amount": log_amount(F.col("amount")),
-            "amount_bin": amount_bin(df, bins, q, edges),
-        }
+    return amount_bin(df, bins, q, edges).withColumns(
+        {"day_of_week": times.day_of_week(ts), "hour": F.hour(ts), "log_amount": log_amount(F.col("amount"))}
     )
 
 

@@ -26,6 +26,7 @@ class Ordered:
 
     rows: DataFrame
     block_rows: int
+    blocks: int
 
 
 def order_rows(df: DataFrame, by: list[str], min_block: int = MIN_BLOCK_ROWS) -> Ordered:
@@ -53,13 +54,15 @@ def order_rows(df: DataFrame, by: list[str], min_block: int = MIN_BLOCK_ROWS) ->
         .withColumn("blk", F.floor(F.col("pos") / block_rows).cast("long"))
         .drop("_part", "_slot", "_start")
     )
-    return Ordered(rows, block_rows)
+    return Ordered(rows, block_rows, -(-total // block_rows))
 
 
 def with_halo(ordered: Ordered, halo: int) -> DataFrame:
     """Each row in its own block (``own`` true); the last ``halo`` rows of a block also in the next."""
     if halo >= ordered.block_rows:
         raise ValueError(f"halo {halo} does not fit in blocks of {ordered.block_rows} rows")
+    if ordered.blocks <= 1:
+        return ordered.rows.withColumn("own", F.lit(True))
     blk, offset = F.col("blk"), F.col("pos") % ordered.block_rows
     copies = F.when(offset >= ordered.block_rows - halo, F.array(blk, blk + 1)).otherwise(F.array(blk))
     columns = [c for c in ordered.rows.columns if c != "blk"]

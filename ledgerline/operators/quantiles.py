@@ -97,6 +97,7 @@ def exact_quantiles(
     return picked.select(*by, "n", F.array(*quantiles).alias("q"))
 
 
-def scalar_quantile(df: DataFrame, value: str, share: float, accuracy: int = ACCURACY) -> Column:
-    """One quantile of the whole table as a scalar subquery, for use inside an expression."""
-    return exact_quantiles(df, value, [share], accuracy=accuracy).select(F.col("q")[0].alias("q")).scalar()
+def quantile_value(df: DataFrame, value: str, share: float, accuracy: int = ACCURACY) -> float | None:
+    """One quantile of the whole table, fetched; None when there is no value."""
+    row = exact_quantiles(df, value, [share], accuracy=accuracy).first()
+    return None if row is None else float(row["q"][0])

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ledgerline.functions import times
 from ledgerline.operators.cleaning import clean_risk
 from ledgerline.operators.features import geo_distance
-from ledgerline.operators.quantiles import scalar_quantile
+from ledgerline.operators.quantiles import quantile_value
 from ledgerline.operators.sequence import sequence_features
 from ledgerline.sources.headers import RISK_HEADERS
 
@@ -82,27 +82,26 @@ def apply_rules(features: DataFrame, z_cut: float = Z_CUT, geo_km: float = GEO_K
 def risk_score(df: DataFrame, decision: str = "decision") -> DataFrame:
     """``risk_score`` from a model decision (higher is more normal): (-d - min) / (max - min).
 
-    The range is shifted rather than [0, 1]; order and percentiles do not depend on that.
+    The range is shifted rather than [0, 1]; order and percentiles do not depend on that. The two
+    limits are fetched once, so that readers of the result do not look for them again: pass a staged
+    or persisted table.
     """
-    limits = df.agg(F.struct(F.min(decision).alias("low"), F.max(decision).alias("high")).alias("limits")).scalar()
-    d = F.col(decision)
-    scored = df.withColumn("_limits", limits)
-    low, high = F.col("_limits.low"), F.col("_limits.high")
-    return scored.withColumn("risk_score", (-d - low) / (high - low + SCORE_EPSILON)).drop("_limits")
+    low, high = df.agg(F.min(decision), F.max(decision)).first()
+    span = F.lit(high).cast("double") - F.lit(low).cast("double") + SCORE_EPSILON
+    return df.withColumn("risk_score", (-F.col(decision) - F.lit(low).cast("double")) / span)
 
 
-def risk_threshold(scored: DataFrame, pct: float = PERCENTILE) -> Column:
-    """The score at percentile ``pct``, exact, as a scalar subquery."""
-    return scalar_quantile(scored, "risk_score", pct / 100.0)
+def risk_threshold(scored: DataFrame, pct: float = PERCENTILE) -> float | None:
+    """The score at percentile ``pct``, exact; None for an empty table."""
+    return quantile_value(scored, "risk_score", pct / 100.0)
 
 
 def flag_alerts(scored: DataFrame, pct: float = PERCENTILE, need_two: bool = True) -> DataFrame:
     """``threshold`` and ``is_alert``: a high score, or enough rules met (two, or one)."""
     needed = 2 if need_two else 1
-    high = F.col("risk_score") >= F.col("threshold")
-    return scored.withColumn("threshold", risk_threshold(scored, pct)).withColumn(
-        "is_alert", high | (F.size("reasons") >= needed)
-    )
+    threshold = F.lit(risk_threshold(scored, pct)).cast("double")
+    flag = (F.col("risk_score") >= threshold) | (F.size("reasons") >= needed)
+    return scored.withColumns({"threshold": threshold, "is_alert": flag})
 
 
 def alerts_only(flagged: DataFrame) -> DataFrame:
@@ -149,17 +148,14 @@ def explore_alerts(
 
 def score_histogram(df: DataFrame, score: str = "risk_score", bins: int = 50) -> DataFrame:
     """Rows per bin between the least and greatest score; the greatest is in the last bin."""
-    limits = df.agg(F.struct(F.min(score).alias("low"), F.max(score).alias("high")).alias("limits")).scalar()
-    low, high = F.col("_limits.low"), F.col("_limits.high")
-    width = (high - low) / bins
-    number = F.when(width > 0, F.least(F.floor((F.col(score) - low) / width), F.lit(bins - 1))).otherwise(F.lit(0))
+    low, high = df.agg(F.min(score).cast("double"), F.max(score).cast("double")).first()
+    width = (high - low) / bins if low is not None and high > low else 0.0
+    number = F.floor((F.col(score) - low) / width) if width else F.lit(0)
     return (
-        df.select(score)
-        .withColumn("_limits", limits)
-        .where(F.col(score).isNotNull())
-        .select((number + 1).cast("int").alias("bin"), "_limits")
-        .groupBy("bin", (low + (F.col("bin") - 1) * width).alias("bin_from"))
+        df.where(F.col(score).isNotNull())
+        .groupBy((F.least(number, F.lit(bins - 1)) + 1).cast("int").alias("bin"))
         .agg(F.count("*").alias("n"))
+        .select("bin", (F.lit(low).cast("double") + (F.col("bin") - 1) * width).alias("bin_from"), "n")
         .orderBy("bin")
     )
 

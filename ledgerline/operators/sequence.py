@@ -35,8 +35,8 @@ BASELINE_MIN_ROWS = 50
 
 def with_usable_card(df: DataFrame) -> DataFrame:
     """Rows without a card are left out, unless no row has one: then all rows are one sequence."""
-    any_card = F.coalesce(df.agg(F.bool_or(F.col("cc_num").isNotNull()).alias("any")).scalar(), F.lit(False))
-    return df.where(F.col("cc_num").isNotNull() | ~any_card)
+    has_card = F.col("cc_num").isNotNull()
+    return df.where(has_card) if df.where(has_card).select("cc_num").take(1) else df
 
 
 def unusable_card_report(df: DataFrame) -> DataFrame:
@@ -96,8 +96,12 @@ def sequence_features(
     halo = n - 1 + (BASELINE_ROWS - 1 if baseline else 0)
     rows = with_halo(ordered, halo)
     weight = F.col("own").cast("long")
-    rows = rows.withColumns({"_merchant_weight": weight, "_card_weight": weight, "_carry": F.lit(False)})
-    blocks = rows.unionByName(_carried_visits(ordered), allowMissingColumns=True).repartition("blk")
+    rows = rows.withColumns(
+        {"_merchant_weight": weight, "_card_weight": weight, "_most": F.lit(None).cast("long"), "_carry": F.lit(False)}
+    )
+    if ordered.blocks > 1:
+        rows = rows.unionByName(_carried_visits(ordered), allowMissingColumns=True)
+    blocks = rows.repartition("blk")
 
     # One shuffle by block serves all windows; the card windows share one sort.
     merchant_rows = W.partitionBy("blk", "cc_num", "merchant").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)

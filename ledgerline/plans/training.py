@@ -49,7 +49,7 @@ def train_categorizer(
     max_iterations: int = MAX_ITERATIONS,
 ) -> TrainedCategorizer:
     """Fit on a stratified sample and score a stratified hold-out. Bin edges are saved, not refitted."""
-    edges = [float(e) for e in quantile_edges(prepared, TRAINING_BINS).first()["edges"]]
+    edges = quantile_edges(prepared, TRAINING_BINS)
     sample = stratified_sample(model_features(prepared, edges=edges), "category", sample_rows, seed)
     rows = stage(stratified_split(sample, "category", test_share, seed), "training-rows")
     model = fit_categorizer(rows.where(F.col("split") == "train"), max_iterations=max_iterations)
