@@ -13,8 +13,6 @@ from ledgerline.session import scratch_path
 from ledgerline.sources import csv, headers, sinks
 
 EV = "WITH " + EVENTS_SQL
-MICROS = epoch_micros(F.col("timestamp")).alias("micros")
-ID = F.col("`Unnamed: 0`").cast("long").alias("txn_id")
 
 # What the flaws of the dirty view must come out as. A slash date is read month first when it can be.
 FLAW = "txn_id % 20"
@@ -29,12 +27,20 @@ DIRTY_SQL = f"""{EV}, c AS (SELECT txn_id, {DEFAULT_TIME} AS t, {DAY_FIRST_TIME}
 CLEAN_SQL = f"{DIRTY_SQL} SELECT txn_id, epoch_us(t) AS micros, m AS merchant, {r('a')} AS amount FROM c WHERE t IS NOT NULL AND a IS NOT NULL"
 
 
+def _micros():
+    return epoch_micros(F.col("timestamp")).alias("micros")
+
+
+def _id():
+    return F.col("`Unnamed: 0`").cast("long")
+
+
 def _aligned(spark, sf):
-    return headers.align_strict(dirty(spark, sf).withColumn("txn_id", ID), keep=("txn_id",))
+    return headers.align_strict(dirty(spark, sf).withColumn("txn_id", _id()), keep=("txn_id",))
 
 
 def _shown(df):
-    return rounded(df.select("txn_id", MICROS, "merchant", "amount"), amount=4)
+    return rounded(df.select("txn_id", _micros(), "merchant", "amount"), amount=4)
 
 
 # ------------------------------------------------------------------ cleaning
@@ -52,7 +58,7 @@ def clean_currency(spark, sf):
 
 @query("clean_dayfirst", f"{DIRTY_SQL} SELECT txn_id, epoch_us(t_day_first) AS micros FROM c WHERE t_day_first IS NOT NULL AND a IS NOT NULL")
 def clean_dayfirst(spark, sf):
-    return cleaning.clean(_aligned(spark, sf), day_first=True).select("txn_id", MICROS)
+    return cleaning.clean(_aligned(spark, sf), day_first=True).select("txn_id", _micros())
 
 
 @query("clean_inf", f"{EV} SELECT txn_id, {r('amount')} AS amount FROM f WHERE txn_id % 7 NOT IN (1, 2, 3)")
@@ -94,7 +100,7 @@ def _renamed(spark, sf, names):
 
 
 def _with_micros(df):
-    return df.select("txn_id", MICROS, "merchant", "amount", "city", "category")
+    return df.select("txn_id", _micros(), "merchant", "amount", "city", "category")
 
 
 @query("schema_match", ALIGNED_SQL)
@@ -118,7 +124,7 @@ def align_canonical(spark, sf):
 @query("align_strict", f"{EV} SELECT txn_id, epoch_us(ts) AS micros, merchant_raw AS merchant, amount, category, lower(city) AS city, lower(state) AS state FROM f")
 def align_strict(spark, sf):
     rows = headers.align_strict(raw_risk(spark, sf), keep=("txn_id",))
-    return rows.select("txn_id", MICROS, "merchant", "amount", "category", F.lower("city").alias("city"), F.lower("state").alias("state"))
+    return rows.select("txn_id", _micros(), "merchant", "amount", "category", F.lower("city").alias("city"), F.lower("state").alias("state"))
 
 
 @query(
@@ -127,9 +133,9 @@ def align_strict(spark, sf):
 )
 def train_prepare(spark, sf):
     labelled = F.when(F.col("category") != "error", F.col("category"))
-    prepared = training.prepare_training(dirty(spark, sf).withColumns({"txn_id": ID, "category": labelled}))
+    prepared = training.prepare_training(dirty(spark, sf).withColumns({"txn_id": _id(), "category": labelled}))
     columns = ["category", F.lower("city").alias("city"), F.lower("state").alias("state")]
-    return rounded(prepared.select("txn_id", MICROS, "merchant", "amount", *columns), amount=4)
+    return rounded(prepared.select("txn_id", _micros(), "merchant", "amount", *columns), amount=4)
 
 
 @query("category_fallback", f"{EV} SELECT txn_id, CASE WHEN k % 17 = 0 THEN 'uncategorized' ELSE category END AS pred_category FROM f")
@@ -144,7 +150,7 @@ def category_fallback(spark, sf):
     FROM c JOIN f USING (txn_id) WHERE t_day_first IS NOT NULL AND a_currency IS NOT NULL""",
 )
 def batch_classify_align(spark, sf):
-    return _shown(cleaning.clean_batch(headers.align_batch(dirty(spark, sf))).withColumn("txn_id", ID))
+    return _shown(cleaning.clean_batch(headers.align_batch(dirty(spark, sf))).withColumn("txn_id", _id()))
 
 
 @query(
@@ -165,7 +171,7 @@ def batch_classify_features(spark, sf):
 def csv_ingest(spark, sf):
     path = scratch_path(spark, "csv-ingest")
     sinks.write_csv(dirty(spark, sf), path)
-    rows = csv.read_transactions(spark, path).withColumn("txn_id", ID)
+    rows = csv.read_transactions(spark, path).withColumn("txn_id", _id())
     return _shown(cleaning.clean(headers.align_canonical(rows, keep=("txn_id", "Unnamed: 0"))))
 
 
@@ -206,7 +212,7 @@ def csv_header_probe(spark, sf):
     numbers = ",".join(str(i) for i in range(len(names)))
     path = scratch_path(spark, "csv-header-probe")
     write_lines(lines, F.col("txn_id"), [numbers, ",".join(names)], path)
-    rows = csv.read_transactions(spark, path).withColumn("txn_id", ID)
+    rows = csv.read_transactions(spark, path).withColumn("txn_id", _id())
     return _shown(cleaning.clean(headers.align_strict(rows, keep=("txn_id",))))
 
 
@@ -231,13 +237,14 @@ def categorize(spark, sf):
 @query("categorize_text")
 def categorize_text(spark, sf):
     documents = table(spark, sf, "documents").select(F.col("doc_id").alias("txn_id"), "text", F.col("lang").alias("category"))
-    model = categorizer.fit_categorizer(documents, text="text", numeric=[])
+    model = categorizer.fit_categorizer(documents, text="text", numeric=[], max_iterations=50)
     return categorizer.categorize(documents, model, numeric=[], text="text").select("txn_id", "category", "pred_category")
 
 
 def _batch(spark, sf, kind):
     rows = cleaning.clean_batch(headers.align_batch(raw_risk(spark, sf)))
-    return batch.batch_classify(rows, batch.fit_batch_classifier(rows, kind=kind)).select("txn_id", "amount", "predicted_category")
+    settings = {"kind": kind, "trees": 20, "max_depth": 6, "hidden": (16,), "max_iterations": 50}
+    return batch.batch_classify(rows, batch.fit_batch_classifier(rows, **settings)).select("txn_id", "amount", "predicted_category")
 
 
 @query("batch_classify")

@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.times import MICROS_PER_DAY, epoch_micros, whole_days
 
-_BY_DAY = W.partitionBy("merchant").orderBy("day")
-_ALL = W.partitionBy("merchant")
-
 
 def merchant_days(facts: DataFrame) -> DataFrame:
     """Per merchant and day: visits, amount figures and whole days since the last visit before."""
@@ -27,7 +24,8 @@ def merchant_days(facts: DataFrame) -> DataFrame:
         F.avg("amount").alias("mean"),
         F.var_pop("amount").alias("variance"),
     )
-    return days.withColumn("gap", whole_days(F.col("first_micros") - F.lag("last_micros").over(_BY_DAY)))
+    last_day = F.lag("last_micros").over(W.partitionBy("merchant").orderBy("day"))
+    return days.withColumn("gap", whole_days(F.col("first_micros") - last_day))
 
 
 def _timestamp(micros: Column) -> Column:
@@ -44,7 +42,8 @@ def recurring_charges(
     by_day = merchant_days(facts)
     count = F.sum("visits")
     # The mean over all rows comes first, so that the spread around it is a sum of squares.
-    centred = by_day.withColumn("centre", F.sum(F.col("visits") * F.col("mean")).over(_ALL) / count.over(_ALL))
+    merchant = W.partitionBy("merchant")
+    centred = by_day.withColumn("centre", F.sum(F.col("visits") * F.col("mean")).over(merchant) / count.over(merchant))
     squares = F.sum(F.col("visits") * (F.col("variance") + F.pow(F.col("mean") - F.col("centre"), 2)))
     # Same-day gaps are 0 days, one fewer than the visits of the day.
     gaps = F.array(
