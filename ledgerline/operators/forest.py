@@ -46,6 +46,8 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator, max_depth: int) -> pd.Dat
             continue
         feature = int(rng.choice(usable))
         threshold = float(rng.uniform(low[feature], high[feature]))
+        if threshold >= high[feature]:  # rounding in a narrow range
+            threshold = float(low[feature])
         goes_left = x[rows, feature] <= threshold
         nodes.append([feature, threshold, -1, -1, 0.0])
         open_nodes.append((rows[~goes_left], depth + 1, number, 3))

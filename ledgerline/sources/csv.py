@@ -15,11 +15,15 @@ DATA_LIKE_COLUMNS = 10
 KNOWN_HEADER = "trans_date_trans_time"
 
 
-def header_names(line: str) -> list[str]:
-    """Column names of a header line; blanks get ``Unnamed: i`` and repeats a running number."""
+def cells_of(line: str) -> list[str]:
+    return next(csv.reader([line]))
+
+
+def header_names(cells: list[str]) -> list[str]:
+    """Column names of a header; blanks get ``Unnamed: i`` and repeats a running number."""
     names: list[str] = []
     seen: dict[str, int] = {}
-    for position, cell in enumerate(next(csv.reader([line]))):
+    for position, cell in enumerate(cells):
         name = cell if cell else f"Unnamed: {position}"
         repeats = seen.get(name, 0)
         seen[name] = repeats + 1
@@ -34,21 +38,16 @@ def first_lines(spark: SparkSession, path: str, n: int) -> list[str]:
 
 
 def probe_header(spark: SparkSession, path: str) -> tuple[list[str], int]:
-    """Names of the columns and the line (0 or 1) they stand on."""
-    lines = first_lines(spark, path, 2)
+    """Cells of the header and the line (0 or 1) they stand on."""
+    lines = [cells_of(line) for line in first_lines(spark, path, 2)]
     if not lines:
         raise ValueError(f"no lines in {path}")
-    names = header_names(lines[0])
-    if len(lines) < 2:
-        return names, 0
-    second = header_names(lines[1])
-    data_like = second[0].isdigit() and len(names) > DATA_LIKE_COLUMNS
-    header_below = KNOWN_HEADER in second and KNOWN_HEADER not in names
-    if len(names) > DATA_LIKE_COLUMNS and header_below:
-        return second, 1
-    if data_like and KNOWN_HEADER not in names and not _looks_like_names(names):
-        return second, 1
-    return names, 0
+    first = lines[0]
+    if len(lines) < 2 or len(first) <= DATA_LIKE_COLUMNS or KNOWN_HEADER in first:
+        return first, 0
+    second = lines[1]
+    shifted = KNOWN_HEADER in second or (second[0].isdigit() and not _looks_like_names(first))
+    return (second, 1) if shifted else (first, 0)
 
 
 def _looks_like_names(cells: list[str]) -> bool:
@@ -66,7 +65,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
     Blank lines are skipped, and files stay splittable. The names come from the first file.
     """
-    names, header_line = probe_header(spark, path)
+    cells, header_line = probe_header(spark, path)
+    names = header_names(cells)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     schema = schema.add(T.StructField(CORRUPT, T.StringType()))
     rows = (
@@ -83,8 +83,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     if header_line == 1:
         # The reader dropped the line above the header; the header itself comes as a row.
         is_header = F.lit(True)
-        for name in names:
-            is_header = is_header & F.col(f"`{name}`").eqNullSafe(name)
+        for name, cell in zip(names, cells):
+            is_header = is_header & F.col(f"`{name}`").eqNullSafe(F.lit(cell or None).cast("string"))
         rows = rows.where(~is_header)
     return rows
 
@@ -102,7 +102,7 @@ def read_transactions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
     """The over-long records that :func:`read_transactions` leaves out, as lines of text."""
-    names, _ = probe_header(spark, path)
+    cells, _ = probe_header(spark, path)
     lines = spark.read.option("recursiveFileLookup", True).text(path)
     counted = lines.select(F.col("value").alias("record"), _field_count(F.col("value")).alias("fields"))
-    return counted.where(F.col("fields") > len(names))
+    return counted.where(F.col("fields") > len(cells))
