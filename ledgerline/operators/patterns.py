@@ -18,11 +18,13 @@ def weekend_ratio(facts: DataFrame) -> DataFrame:
 
 def time_of_day(facts: DataFrame) -> DataFrame:
     """Sum and count for each of the four periods of the day, also for empty ones."""
-    periods = list(times.PERIOD_LAST_HOUR)
+    periods = F.array(
+        *[F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("period")) for i, name in enumerate(times.PERIOD_LAST_HOUR)]
+    )
     found = facts.groupBy(times.period_of_day(F.col("timestamp")).alias("period")).agg(
         F.sum("amount").alias("total"), F.count("*").alias("n")
     )
-    all_periods = facts.sparkSession.createDataFrame(list(enumerate(periods)), "ordinal int, period string")
+    all_periods = facts.sparkSession.range(1).select(F.inline(periods))
     return (
         all_periods.join(found, "period", "left")
         .select("ordinal", "period", F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -12,11 +12,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerline.functions.times import MICROS_PER_MINUTE, epoch_micros
 from ledgerline.operators.order import MIN_BLOCK_ROWS, Ordered, first_key_of_blocks, order_rows, with_halo
@@ -153,19 +151,17 @@ def sequence_features(
 def with_long_baseline(blocks: DataFrame) -> DataFrame:
     """``long_baseline``: median of the last 200 ``roll_sum_N`` in table order, 0 under 50 rows.
 
-    Runs over the sorted stream of a block, batch by batch, and keeps 199 values between batches.
-    The built-in ``percentile`` over a moving frame rebuilds its state for each row and took 20
-    times as long on 100,000 rows.
+    Runs over the sorted rows of a block, batch by batch, and keeps 199 values between batches. Only
+    two columns go to Python. The built-in ``percentile`` over a moving frame rebuilds its state for
+    each row and took 20 times as long on 100,000 rows.
     """
-    ordered = blocks.sortWithinPartitions("blk", "cc_num", "pos")
-    schema = T.StructType([*ordered.schema.fields, T.StructField("long_baseline", T.DoubleType())])
     keep = BASELINE_ROWS - 1
 
-    def rolling_median(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("double")
+    def rolling_median(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         tail, tail_block = np.empty(0), None
-        for batch in batches:
-            block = batch.column("blk").to_numpy()
-            sums = batch.column("roll_sum_N").to_numpy(zero_copy_only=False)
+        for blocks_of_rows, sums_of_rows in batches:
+            block, sums = blocks_of_rows.to_numpy(), sums_of_rows.to_numpy()
             starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else []
             medians = np.empty(len(block))
             for start, end in zip(starts, [*starts[1:], len(block)]):
@@ -174,8 +170,9 @@ def with_long_baseline(blocks: DataFrame) -> DataFrame:
                 rolled = pd.Series(run).rolling(BASELINE_ROWS, min_periods=BASELINE_MIN_ROWS).median()
                 medians[start:end] = rolled.fillna(0.0).to_numpy()[len(before) :]
                 tail, tail_block = run[-keep:], block[start]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(medians, pa.float64())], names=[*batch.schema.names, "long_baseline"]
-            )
+            yield pd.Series(medians)
 
-    return ordered.mapInArrow(rolling_median, schema)
+    # The result depends on the rows before, so neither the sort nor a later filter may move past it.
+    median_of = rolling_median.asNondeterministic()
+    ordered = blocks.sortWithinPartitions("blk", "cc_num", "pos")
+    return ordered.withColumn("long_baseline", median_of("blk", "roll_sum_N"))
