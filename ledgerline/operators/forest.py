@@ -6,10 +6,12 @@ rows whatever the table holds. Scoring runs on Arrow batches of the feature colu
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +19,9 @@ from pyspark.sql import functions as F
 from ledgerline.operators.quantiles import exact_quantiles
 from ledgerline.session import stage
 
+# Functions of this module travel to the executors by value, so these need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 EULER_GAMMA = 0.5772156649015329
 HASH_RANGE = 1 << 40
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, path double"

@@ -39,29 +39,40 @@ def recurring_charges(
     facts: DataFrame, min_count: int = 3, days: tuple[int, int] = (26, 33), max_cv: float = 0.2
 ) -> DataFrame:
     """Merchants charged about monthly with near-constant amounts, and the next expected time."""
-    by_day = merchant_days(facts)
-    count = F.sum("visits")
-    # The mean over all rows comes first, so that the spread around it is a sum of squares.
     merchant = W.partitionBy("merchant")
-    centred = by_day.withColumn("centre", F.sum(F.col("visits") * F.col("mean")).over(merchant) / count.over(merchant))
-    squares = F.sum(F.col("visits") * (F.col("variance") + F.pow(F.col("mean") - F.col("centre"), 2)))
-    # Same-day gaps are 0 days, one fewer than the visits of the day.
-    gaps = F.array(
-        F.struct(F.col("gap"), F.col("gap").isNotNull().cast("long").alias("times")),
-        F.struct(F.lit(0).cast("long").alias("gap"), (F.col("visits") - 1).alias("times")),
-    )
-    merchants = centred.groupBy("merchant").agg(
-        count.alias("n"),
-        F.max("centre").alias("_mean"),
-        F.sqrt(squares / F.nullif(count - 1, F.lit(0))).alias("_std"),
-        F.max("last_micros").alias("_last"),
+    visits = F.sum("visits").over(merchant)
+    # The mean over all rows comes first, so that the spread around it is a sum of squares.
+    centred = merchant_days(facts).withColumn("centre", F.sum(F.col("visits") * F.col("mean")).over(merchant) / visits)
+    squares = F.col("visits") * (F.col("variance") + F.pow(F.col("mean") - F.col("centre"), 2))
+    # A day has one gap to the day before and, for its other visits, gaps of 0 days. Only the first
+    # entry carries the figures of the day, so that one aggregation serves all of them.
+    entries = F.array(
+        F.struct(
+            F.col("gap"),
+            F.col("gap").isNotNull().cast("long").alias("times"),
+            F.col("visits").alias("n"),
+            squares.alias("squares"),
+        ),
+        F.struct(
+            F.lit(0).cast("long").alias("gap"),
+            (F.col("visits") - 1).alias("times"),
+            F.lit(0).cast("long").alias("n"),
+            F.lit(0.0).alias("squares"),
+        ),
     )
-    medians = (
-        by_day.select("merchant", F.explode(gaps).alias("g"))
+    found = (
+        centred.select("merchant", "centre", "last_micros", F.inline(entries))
         .groupBy("merchant")
-        .agg(F.percentile("g.gap", F.lit(0.5), F.col("g.times")).alias("median_interval_days"))
+        .agg(
+            F.sum("n").alias("n"),
+            F.max("centre").alias("_mean"),
+            F.sum("squares").alias("_squares"),
+            F.max("last_micros").alias("_last"),
+            F.percentile("gap", F.lit(0.5), F.col("times")).alias("median_interval_days"),
+        )
+        .where(F.col("n") >= min_count)
+        .withColumn("_std", F.sqrt(F.col("_squares") / F.nullif(F.col("n") - 1, F.lit(0))))
     )
-    found = merchants.where(count_at_least(min_count)).join(medians, "merchant")
     cv = F.col("_std") / F.nullif(F.col("_mean"), F.lit(0.0))
     next_micros = F.col("_last") + (F.col("median_interval_days") * MICROS_PER_DAY).cast("long")
     return (
@@ -79,10 +90,6 @@ def recurring_charges(
     )
 
 
-def count_at_least(n: int) -> Column:
-    return F.col("n") >= n
-
-
 def merchants_due(facts: DataFrame, as_of: str, top: int = 10, limit: int = 5) -> DataFrame:
     """Of the most frequent merchants, those whose usual gap has almost passed at ``as_of``."""
     frequent = (
@@ -100,7 +107,7 @@ def merchants_due(facts: DataFrame, as_of: str, top: int = 10, limit: int = 5) -
             F.sum("gap").alias("_gaps"),
             F.max("last_micros").alias("_last"),
         )
-        .where(count_at_least(3))
+        .where(F.col("n") >= 3)
     )
     now = epoch_micros(F.lit(as_of).cast("timestamp_ntz"))
     return (

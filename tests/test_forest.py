@@ -1,10 +1,13 @@
 """Isolation forest by its properties."""
 
 import datetime as dt
+import subprocess
+import sys
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from ledgerline.operators import anomalies, forest
@@ -77,3 +80,10 @@ def test_anomalies_of_facts(spark):
     assert len(found) <= 16 and found[0].txn_id == 300
     assert found[0].reasons == ["rare_merchant", "high_amount", "high_frequency_day", "unusual_hour"]
     assert anomalies.multi_dim_anomalies(facts.limit(9)).count() == 0
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(forest.grow_tree))
+    code = "import pickle, numpy as np; f = pickle.load(open('f.pkl', 'rb')); print(len(f(np.eye(3), np.random.default_rng(1), 2)))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
+    assert done.returncode == 0 and int(done.stdout) >= 3
