@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from ledgerline.functions.numbers import log_amount
 from ledgerline.operators.features import calendar_features
 from ledgerline.operators.forest import fit_isolation_forest
-from ledgerline.operators.insights import row_order
 from ledgerline.operators.lookup import attach_group_stats
 from ledgerline.operators.quantiles import exact_quantiles, quantile_value
-from ledgerline.session import stage
+from ledgerline.session import stage, with_row_key
 
 # Features in model order, and the limits behind the reasons.
 ANOMALY_FEATURES = [
@@ -82,16 +81,17 @@ def multi_dim_anomalies(
     facts: DataFrame, contamination: float = 0.05, trees: int = 100, top: int | None = 50, seed: int = 42
 ) -> DataFrame:
     """The most anomalous rows by an isolation forest fitted on the same facts, with reasons."""
-    features = stage(anomaly_reasons(anomaly_features(facts), facts), "anomaly-features")
+    keyed = with_row_key(facts)
+    features = stage(anomaly_reasons(anomaly_features(keyed), keyed), "anomaly-features")
     names = [f for f in ANOMALY_FEATURES if f in features.columns]
-    shown = [c for c in ["txn_id", "timestamp", "merchant", "amount", "pred_category"] if c in features.columns]
+    shown = [c for c in ["txn_id", "timestamp", "merchant", "amount", "pred_category"] if c in facts.columns]
     if features.count() < MIN_ROWS:
         return features.limit(0).select(*shown, F.lit(0.0).alias("anomaly_score"), "reasons")
     _, flagged = fit_isolation_forest(features, names, trees, 256, contamination, seed)
-    found = flagged.where("is_anomaly").select(*shown, "anomaly_score", "reasons")
-    if top is None:
-        return found
-    return found.orderBy(F.desc("anomaly_score"), *row_order(found)).limit(top)
+    found = flagged.where("is_anomaly")
+    if top is not None:
+        found = found.orderBy(F.desc("anomaly_score"), "txn_id").limit(top)
+    return found.select(*shown, "anomaly_score", "reasons")
 
 
 def anomaly_daily(anomalies: DataFrame) -> DataFrame:

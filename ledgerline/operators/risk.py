@@ -11,6 +11,7 @@ from ledgerline.operators.cleaning import clean_risk
 from ledgerline.operators.features import geo_distance
 from ledgerline.operators.quantiles import quantile_value
 from ledgerline.operators.sequence import sequence_features
+from ledgerline.session import with_row_key
 from ledgerline.sources.headers import RISK_HEADERS
 
 # Model features, rules in their order, and default limits.
@@ -35,10 +36,10 @@ _TYPES |= dict.fromkeys(["cust_lat", "cust_long", "merch_lat", "merch_long"], "d
 def risk_base(df: DataFrame, label: bool = False) -> DataFrame:
     """The twelve risk columns from raw headers, absent ones as typed NULLs, and a row key.
 
-    Canonical names are accepted too. A table without ``txn_id`` is keyed by a hash of its row.
+    Canonical names are accepted too. A table without ``txn_id`` is numbered and staged.
     """
     headers = RISK_HEADERS | ({"is_fraud": "is_fraud"} if label else {})
-    key = F.col("txn_id") if "txn_id" in df.columns else F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    key = ["txn_id"] if "txn_id" in df.columns else []
 
     def source(raw: str, name: str) -> Column:
         for candidate in (raw, name):
@@ -47,7 +48,7 @@ def risk_base(df: DataFrame, label: bool = False) -> DataFrame:
         return F.lit(None).cast(_TYPES.get(name, "string"))
 
     columns = [source(raw, name).alias(name) for raw, name in headers.items()]
-    base = df.select(key.alias("txn_id"), *columns)
+    base = with_row_key(df.select(*key, *columns))
     if isinstance(base.schema["cc_num"].dataType, T.StringType):
         base = base.withColumn("cc_num", F.trim("cc_num").try_cast("bigint"))
     return base

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators.categorizer import MAX_ITERATIONS, categorize, fit_categorizer
@@ -13,16 +13,17 @@ from ledgerline.operators.cleaning import clean, drop_incomplete
 from ledgerline.operators.evaluate import class_report, confusion, f1_scores, prediction_sample
 from ledgerline.operators.features import model_features, quantile_edges
 from ledgerline.operators.sampling import stratified_sample, stratified_split
-from ledgerline.session import stage
+from ledgerline.session import stage, with_row_key
 from ledgerline.sources.headers import align_strict
 
 TRAINING_BINS = 5
 SAMPLE_ROWS = 300_000
 
 
-def prepare_training(df: DataFrame, keep: tuple[str, ...] = ("txn_id",)) -> DataFrame:
-    """Six raw columns, cleaned; rows without time, amount or label are left out."""
-    return drop_incomplete(clean(align_strict(df, keep=keep)), also=("category",))
+def prepare_training(df: DataFrame) -> DataFrame:
+    """Six raw columns and a row key, cleaned; rows without time, amount or label are left out."""
+    aligned = align_strict(df, keep=("txn_id",) if "txn_id" in df.columns else ())
+    return drop_incomplete(clean(with_row_key(aligned)), also=("category",))
 
 
 @dataclass
@@ -56,3 +57,14 @@ def train_categorizer(
     held_out = categorize(rows.where(F.col("split") == "test"), model)
     validated = held_out.withColumnsRenamed({"category": "true", "pred_category": "pred"})
     return TrainedCategorizer(model, edges, validated)
+
+
+def save_categorizer(spark: SparkSession, path: str, model: PipelineModel, edges: list[float]) -> None:
+    """The model, and next to it the bin edges that serving needs."""
+    model.write().save(f"{path}/model")
+    spark.createDataFrame([(edges,)], "edges array<double>").coalesce(1).write.json(f"{path}/edges")
+
+
+def load_categorizer(spark: SparkSession, path: str) -> tuple[PipelineModel, list[float]]:
+    edges = spark.read.schema("edges array<double>").json(f"{path}/edges").first()["edges"]
+    return PipelineModel.load(f"{path}/model"), list(edges)

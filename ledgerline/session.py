@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -55,3 +56,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def with_row_key(df: DataFrame, key: str = "txn_id") -> DataFrame:
+    """``df`` with a unique row key, numbered and staged when it has none.
+
+    A hash of the row would not do: copies of one row would all draw the same lot in a sample.
+    Staging makes the numbers final before any shuffle depends on them.
+    """
+    if key in df.columns:
+        return df
+    return stage(df.withColumn(key, F.monotonically_increasing_id()), "keyed")

@@ -7,6 +7,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from ledgerline.operators import batch, categorizer
+from ledgerline.operators.anomalies import multi_dim_anomalies
 from ledgerline.plans import insights, risk, training
 
 WORDS = {"food": "burger grill", "fuel": "petrol pump", "travel": "airline tickets"}
@@ -39,18 +40,19 @@ def test_training_learns_the_words(trained):
 
 
 def test_model_survives_saving(spark, raw, trained, tmp_path):
-    trained.model.write().save(str(tmp_path / "model"))
-    loaded = PipelineModel.load(str(tmp_path / "model"))
+    training.save_categorizer(spark, str(tmp_path / "saved"), trained.model, trained.edges)
+    model, edges = training.load_categorizer(spark, str(tmp_path / "saved"))
+    assert edges == trained.edges
     found = [
-        insights.facts_from_raw(raw, model, trained.edges, keep=("txn_id",)).orderBy("txn_id").collect()
-        for model in (trained.model, loaded)
+        insights.facts_from_raw(raw, *saved).orderBy("txn_id").collect()
+        for saved in ((trained.model, trained.edges), (model, edges))
     ]
     assert found[0] == found[1] and len(found[0]) == 360
     assert sum(r.category == r.pred_category for r in found[0]) > 340
 
 
 def test_facts_without_a_model_use_the_given_category(raw):
-    facts = insights.facts_from_raw(raw, keep=("txn_id",))
+    facts = insights.facts_from_raw(raw)
     assert facts.where(F.col("category") != F.col("pred_category")).count() == 0
     assert {"date", "week", "month", "merchant_raw"} <= set(facts.columns)
 
@@ -84,6 +86,15 @@ def test_batch_classifier(raw, kind):
     assert joined.where(F.col("category") == F.col("predicted_category")).count() > 250
 
 
+def test_tables_without_a_row_key(raw):
+    copies = raw.drop("txn_id").unionAll(raw.drop("txn_id"))
+    assert training.prepare_training(copies).select("txn_id").distinct().count() == 720
+    flagged = risk.flag_transactions(copies, risk.fit_risk_model(copies))
+    assert flagged.select("txn_id").distinct().count() == flagged.count() == 720
+    found = multi_dim_anomalies(insights.facts_from_raw(raw.drop("txn_id")))
+    assert "txn_id" not in found.columns and 0 < found.count() <= 19
+
+
 def test_unknown_kind(raw):
     with pytest.raises(ValueError):
         batch.fit_batch_classifier(raw, kind="svm")
