@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import longs, query, r, rounded
 from catalog.views import RISK_SQL, flagged_sql, raw_risk
+from ledgerline.functions.times import epoch_micros
 from ledgerline.operators import forest, risk
 from ledgerline.operators.cleaning import clean_risk
 from ledgerline.operators.features import geo_distance
@@ -22,7 +23,7 @@ RISK_COLUMNS = ["txn_id", "merchant", "category", "amount", "city", "state", "cc
     cust_lat, cust_long, merch_lat, merch_long FROM g""",
 )
 def risk_base(spark, sf):
-    micros = F.unix_micros(F.col("timestamp").cast("timestamp")).alias("micros")
+    micros = epoch_micros(F.col("timestamp")).alias("micros")
     rest = ["unix_time", "cust_lat", "cust_long", "merch_lat", "merch_long"]
     return clean_risk(risk.risk_base(raw_risk(spark, sf))).select(*RISK_COLUMNS, micros, *rest)
 

@@ -15,6 +15,7 @@ from catalog.views import (
     order_facts,
     table,
 )
+from ledgerline.functions.times import epoch_micros
 from ledgerline.operators import (
     affinity,
     anomalies,
@@ -355,7 +356,7 @@ def eval_f1(spark, sf):
 )
 def prediction_sample(spark, sf):
     sample = evaluate.prediction_sample(_evaluated(spark, sf))
-    return sample.withColumn("timestamp", F.unix_micros(F.col("timestamp").cast("timestamp"))).withColumnRenamed("timestamp", "micros")
+    return sample.withColumn("timestamp", epoch_micros(F.col("timestamp"))).withColumnRenamed("timestamp", "micros")
 
 
 def _quota_sql(size: str) -> str:
