@@ -2,7 +2,7 @@
 
 The built-in ``percentile`` keeps every distinct value of a group in memory. Here a first pass
 takes a bounded sketch and brackets each wanted rank; a second pass counts values by bracket, so
-that only the few distinct values inside a bracket are sorted: about 4 / ACCURACY of them.
+that only the few distinct values inside a bracket are sorted: about 8 / ACCURACY of them.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ledgerline.operators.lookup import attach_group_stats
 
 ACCURACY = 100_000
+MARGIN = 4.0  # bracket width to each side, in units of the sketch's own error bound
 MISSED = "sketch bracket missed the wanted rank"
 
 
@@ -34,8 +35,8 @@ def rank_values(
         F.count("*").alias("n"),
         F.min(v).alias("least"),
         F.max(v).alias("most"),
-        F.percentile_approx(v, [max(0.0, p - 2.0 / accuracy) for p in shares], accuracy).alias("low"),
-        F.percentile_approx(v, [min(1.0, p + 2.0 / accuracy) for p in shares], accuracy).alias("high"),
+        F.percentile_approx(v, [max(0.0, p - MARGIN / accuracy) for p in shares], accuracy).alias("low"),
+        F.percentile_approx(v, [min(1.0, p + MARGIN / accuracy) for p in shares], accuracy).alias("high"),
     )
     small = F.col("n") <= accuracy
     lows, highs = [], []

@@ -50,7 +50,9 @@ def risk_base(df: DataFrame, label: bool = False) -> DataFrame:
     columns = [source(raw, name).alias(name) for raw, name in headers.items()]
     base = with_row_key(df.select(*key, *columns))
     if isinstance(base.schema["cc_num"].dataType, T.StringType):
-        base = base.withColumn("cc_num", F.trim("cc_num").try_cast("bigint"))
+        # Card numbers read from text are the same card with and without blanks or leading zeros.
+        number = F.trim("cc_num").try_cast("bigint").cast("string")
+        base = base.withColumn("cc_num", F.coalesce(number, F.nullif(F.trim("cc_num"), F.lit(""))))
     return base
 
 

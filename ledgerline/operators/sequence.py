@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.functions.times import MICROS_PER_MINUTE, epoch_micros
 from ledgerline.operators.order import MIN_BLOCK_ROWS, Ordered, first_key_of_blocks, order_rows, with_halo
@@ -90,7 +91,12 @@ def sequence_features(
     ``baseline`` adds ``long_baseline``: the rolling median of ``roll_sum_N`` over the whole table in
     (card, time) order.
     """
-    ordered = order_rows(with_usable_card(df), ["cc_num", "timestamp", "txn_id"], min_block)
+    usable = with_usable_card(df)
+    text_cards = isinstance(usable.schema["cc_num"].dataType, T.StringType)
+    if text_cards:  # numbers held as text keep the order of numbers
+        usable = usable.withColumn("_card_number", F.col("cc_num").try_cast("bigint"))
+    cards = ["_card_number", "cc_num"] if text_cards else ["cc_num"]
+    ordered = order_rows(usable, [*cards, "timestamp", "txn_id"], min_block)
     halo = n - 1 + (BASELINE_ROWS - 1 if baseline else 0)
     rows = with_halo(ordered, halo)
     weight = F.col("own").cast("long")
@@ -144,11 +150,12 @@ def sequence_features(
     )
     kept = [c for c in features.columns if not c.startswith("_")]
     if baseline:
-        features = with_long_baseline(features.select(*kept))
+        # Card order is table order too, and already sorted by, unless cards are text.
+        features = with_long_baseline(features.select(*kept), ["pos"] if text_cards else ["cc_num", "pos"])
     return features.where(F.col("own")).drop("pos", "blk", "own", *[c for c in features.columns if c.startswith("_")])
 
 
-def with_long_baseline(blocks: DataFrame) -> DataFrame:
+def with_long_baseline(blocks: DataFrame, order: list[str]) -> DataFrame:
     """``long_baseline``: median of the last 200 ``roll_sum_N`` in table order, 0 under 50 rows.
 
     Runs over the sorted rows of a block, batch by batch, and keeps 199 values between batches. Only
@@ -174,5 +181,5 @@ def with_long_baseline(blocks: DataFrame) -> DataFrame:
 
     # The result depends on the rows before, so neither the sort nor a later filter may move past it.
     median_of = rolling_median.asNondeterministic()
-    ordered = blocks.sortWithinPartitions("blk", "cc_num", "pos")
+    ordered = blocks.sortWithinPartitions("blk", *order)
     return ordered.withColumn("long_baseline", median_of("blk", "roll_sum_N"))

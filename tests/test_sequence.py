@@ -105,3 +105,18 @@ def test_baseline_starts_at_fifty_rows(spark, rows):
 def test_empty_table(spark):
     empty = spark.createDataFrame(transactions(n=3)).limit(0)
     assert sequence.sequence_features(empty, baseline=True).count() == 0
+
+
+def test_cards_as_text(spark):
+    data = transactions(n=600)
+    numbers = risk.risk_base(spark.createDataFrame(data))
+    names = [c for c in NAMES.values()]
+    found = []
+    for card in (F.col("cc_num"), F.concat(F.lit(" 00"), F.col("cc_num").cast("string")), F.concat(F.lit("x-"), F.col("cc_num").cast("string"))):
+        cards = risk.risk_base(spark.createDataFrame(data).withColumn("cc_num", card))
+        rows = sequence.sequence_features(cards, baseline=True, min_block=250)
+        found.append(rows.orderBy("txn_id").toPandas()[names])
+    assert dict(numbers.dtypes)["cc_num"] == "bigint"
+    pd.testing.assert_frame_equal(found[0], found[1])
+    # Masked numbers are cards of their own; only the order of cards, so the baseline, may differ.
+    pd.testing.assert_frame_equal(found[0][names[:-1]], found[2][names[:-1]])
