@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerline.llm.licences import scan_licences, scan_sql
 from ledgerline.llm.line_rules import quality_rules
 from ledgerline.llm.pages import extract_text
+from ledgerline.llm.partenum import near_duplicates
 from ledgerline.llm.registry import query, table
 from ledgerline.llm.token_counts import token_counts
 
@@ -17,6 +18,11 @@ def op1_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+@query("op2_partenum_join")
+def op2_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op5_line_frequency")
 def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))

@@ -8,11 +8,13 @@ however long a text or a batch is (one longer text is a slice of its own).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 SLICE_BYTES = 2_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -132,3 +134,15 @@ def sequence_hash(hashes: np.ndarray) -> int:
     for h in hashes.tolist():
         total = (total * _BASE + h) & _MASK
     return int(mix(np.array([(total + len(hashes) * 0x632BE59BD9B4E019) & _MASK], dtype=np.uint64))[0])
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Fewer rows in an Arrow batch while the block runs jobs, as a row may hold a long text."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
