@@ -24,13 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from ledgerline.llm.components import connected_components
-from ledgerline.llm.words import Words, mix, sequence_hash, small_batches, window_hashes, word_slices
+from ledgerline.llm.words import BATCH_ROWS, Words, mix, sequence_hash, settings, window_hashes, word_slices
 from ledgerline.session import stage
 
 SHINGLE = 5
 PARTS = 0.34  # partitions of a band per feature of its largest set; over 2/7, with room for empty partitions
 COMMON = 32  # a signature of more sets is common
-BUCKET_SIGNATURES = 1_500_000  # signatures in one task of the grouping, which sets the number of buckets
+BINS = 128
+BUCKET_SIGNATURES = 3_000_000  # signatures in one task of the grouping, which sets the number of buckets
 SIGNATURES_PER_BYTE = 0.14
 SIGNATURE_BYTES = 5  # kept of a signature in its bucket; a chance meeting only costs a comparison
 
@@ -93,29 +94,36 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-CLASSES = "doc_id long, n_shingles long, cls long, spare_own long, spare_next long"
+CLASSES = "doc_id long, n_shingles long, cls long, spare_own long, spare_next long, sketch binary"
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size and class of each document's set, and how many signatures of each role it can do without."""
+    """Size, class and sketch of each document's set, and how many signatures of each role it can do without.
+
+    The sketch counts the features in ``BINS`` parts of the domain, or about a quarter as many as features where that is
+    more, up to 255 each. Two sketches never differ by more than the symmetric difference of the sets.
+    """
     for batch in batches:
         rows = []
         for words in word_slices(_column(batch, "text")):
             for features in shingle_sets(words):
                 if len(features):
                     spare = {role: len(s) - most for role, s, most in signatures(features)}
-                    rows.append((len(features), set_class(features), spare[0], spare.get(1, 0)))
+                    bins = max(BINS, 1 << (len(features) // 4).bit_length())
+                    sketch = np.minimum(np.bincount((features % np.uint64(bins)).view(np.int64), minlength=bins), 255).astype(np.uint8)
+                    rows.append((len(features), set_class(features), spare[0], spare.get(1, 0), sketch.tobytes()))
                 else:
-                    rows.append((0, 0, 0, 0))
+                    rows.append((0, 0, 0, 0, b""))
         columns = [_column(batch, "doc_id"), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(4))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "cls", "spare_own", "spare_next"])
+        columns.append(pa.array([r[4] for r in rows], pa.binary()))
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "cls", "spare_own", "spare_next", "sketch"])
 
 
-SIGNED = "bucket int, cls binary, counts binary, signatures binary"
+SIGNED = "bucket int, cls binary, own binary, next binary, signatures binary"
 
 
 def _signed(buckets: int):
-    """Signatures of the texts, packed by bucket: classes, how many signatures each has there with the role, and these.
+    """Signatures of the texts, packed by bucket: classes, how many signatures of either role each has there, and these.
 
     Copies that one slice of texts holds sign once.
     """
@@ -123,35 +131,31 @@ def _signed(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words in word_slices(_column(batch, "text")):
-                owners: dict[tuple[int, int], np.ndarray] = {}
-                for features in shingle_sets(words):
-                    if len(features) and ((cls := set_class(features)), 0) not in owners:
-                        owners |= {(cls, role): values for role, values, _ in signatures(features)}
-                if owners:
-                    yield _packed(owners, buckets)
+                found = {set_class(f): f for f in shingle_sets(words) if len(f)}
+                if found:
+                    yield _packed(list(found), [signatures(f) for f in found.values()], buckets)
 
     return run
 
 
-def _packed(owners: dict[tuple[int, int], np.ndarray], buckets: int) -> pa.RecordBatch:
-    values = np.concatenate(list(owners.values()))
-    owner = np.repeat(np.arange(len(owners)), [len(v) for v in owners.values()])
-    cls = np.array([c for c, _ in owners], dtype="<i8")
-    role = np.array([r for _, r in owners], dtype=np.int64)
+def _packed(classes: list[int], signed: list[list[tuple[int, np.ndarray, int]]], buckets: int) -> pa.RecordBatch:
+    values = np.concatenate([values for roles in signed for _, values, _ in roles])
+    owner = np.repeat([2 * k + role for k, roles in enumerate(signed) for role, _, _ in roles], [len(v) for roles in signed for _, v, _ in roles])
     bucket = (((values >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     bucket, values, owner = bucket[order], values[order], owner[order]
     edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
     low = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SIGNATURE_BYTES]
-    rows: list[tuple[int, bytes, bytes, bytes]] = []
+    cls = np.array(classes, dtype="<i8")
+    rows: list[tuple[int, bytes, bytes, bytes, bytes]] = []
     for at, to in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        own = owner[at:to]
-        starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        counts = np.diff(np.append(starts, to - at)) * 2 + role[own[starts]]
-        rows.append((int(bucket[at]), cls[own[starts]].tobytes(), counts.astype("<u4").tobytes(), low[at:to].tobytes()))
+        counts = np.bincount(owner[at:to], minlength=2 * len(cls)).astype("<u2").reshape(-1, 2)
+        here = counts.any(axis=1)
+        counts = counts[here]
+        rows.append((int(bucket[at]), cls[here].tobytes(), counts[:, 0].tobytes(), counts[:, 1].tobytes(), low[at:to].tobytes()))
     return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))],
-        names=["bucket", "cls", "counts", "signatures"],
+        [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 5))],
+        names=["bucket", "cls", "own", "next", "signatures"],
     )
 
 
@@ -161,18 +165,18 @@ GROUPED = "gid long, shared int, cls long, role int, times int"
 def _grouped(rows: pd.DataFrame) -> pd.DataFrame:
     """Groups of classes that share a signature of this bucket, alike groups once; ``shared`` is a group's size."""
     cls = np.concatenate([np.frombuffer(x, dtype="<i8") for x in rows["cls"]])
-    counts = np.concatenate([np.frombuffer(x, dtype="<u4") for x in rows["counts"]])
+    counts = np.stack([np.concatenate([np.frombuffer(x, dtype="<u2") for x in rows[role]]) for role in ("own", "next")], axis=1).ravel()
     packed = np.frombuffer(b"".join(rows["signatures"]), dtype=np.uint8).reshape(-1, SIGNATURE_BYTES)
     values = np.zeros((len(packed), 8), dtype=np.uint8)
     values[:, :SIGNATURE_BYTES] = packed
     values = values.view("<u8").ravel()
-    owner = np.repeat(np.arange(len(cls)), counts >> 1)
+    owner = np.repeat(np.arange(len(counts)), counts)
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
     same = values[1:] == values[:-1]
     keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
     values, owner = values[keep], owner[keep]
-    members, roles = cls[owner], (counts[owner] & 1).astype(np.int32)
+    members, roles = cls[owner >> 1], (owner & 1).astype(np.int32)
     order = np.lexsort((members, values))
     values, members, roles = values[order], members[order], roles[order]
     if len(values):  # a class that several tasks have met counts once
@@ -215,8 +219,36 @@ def linked(a: pd.Series, b: pd.Series, percent: pd.Series) -> pd.Series:
     return pd.Series(found, dtype=bool)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) that link. A class that is compared with many meets them in a join that can be split."""
+@F.pandas_udf(BooleanType())
+def may_link(a: pd.Series, b: pd.Series, sizes: pd.Series) -> pd.Series:
+    """Whether two sketches differ by no more than linked sets of so many features together can."""
+    found = []
+    for x, y, n in zip(a, b, sizes):
+        x, y = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
+        parts = min(len(x), len(y))  # the finer one is folded
+        x, y = (z.reshape(-1, parts).sum(axis=0, dtype=np.int64) for z in (x, y))
+        found.append(7 * int(np.abs(x - y).sum()) <= n)
+    return pd.Series(found, dtype=bool)
+
+
+def _plausible(pairs: DataFrame, holders: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sizes and sketches allow a link."""
+    one = holders.select(F.col("cls").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
+    two = holders.select(F.col("cls").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
+    sized = pairs.join(one, "u").join(two, "v").where("4 * least(nu, nv) >= 3 * greatest(nu, nv)")
+    return sized.where(may_link("su", "sv", F.col("nu") + F.col("nv"))).select("u", "v")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that link, compared in full.
+
+    Only the texts of classes in a pair are shuffled: Spark's runtime Bloom filter thins the scan before the join. A class
+    that is compared with many meets them in a join that adaptive execution can split.
+    """
+    ends = pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).distinct()
+    wanted = stage(holders.select("doc_id", "cls", "n").join(ends, "cls", "left_semi"), "wanted").where("n > 0")
+    texts = docs.join(wanted.select("doc_id", "cls"), "doc_id")
+    sets = texts.select("cls", "text").mapInArrow(_sets, "cls long, features binary")
     left = sets.select(F.col("cls").alias("v"), F.col("features").alias("fv"))
     right = sets.select(F.col("cls").alias("u"), F.col("features").alias("fu"))
     return pairs.join(left, "v").join(right, "u").where(linked("fu", "fv", F.lit(percent))).select("u", "v")
@@ -225,7 +257,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _groups(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(gid, shared, cls) of the groups that can hold a link, after common signatures have been left out where they can."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(64, math.ceil(size * SIGNATURES_PER_BYTE / BUCKET_SIGNATURES))
+    buckets = max(16, math.ceil(size * SIGNATURES_PER_BYTE / BUCKET_SIGNATURES))
     signed = docs.select("text").mapInArrow(_signed(buckets), SIGNED)
     grouped = signed.groupBy("bucket").applyInPandas(_grouped, GROUPED)
     groups = stage(grouped.groupBy("gid", "shared", "cls", "role").agg(F.sum("times").alias("times")), "signature-groups")
@@ -256,7 +288,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     if percent < 75:
         raise ValueError("the signatures find links of 75 percent or more")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    with small_batches(docs.sparkSession):
+    # The runtime filter is Spark's own default for scans over 10 GB; here it serves smaller ones as well.
+    with settings(docs.sparkSession, BATCH_ROWS | {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}):
         return _near_duplicates(docs, percent)
 
 
@@ -278,32 +311,27 @@ def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     )
     pivots = stage(pivots, "pivots")
 
-    holders = own.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
-    wanted = holders.join(groups.select("cls").distinct(), "cls", "left_semi")
-    texts = docs.join(wanted.select("doc_id", "cls"), "doc_id")
-    sets = stage(texts.select("cls", "text").mapInArrow(_sets, "cls long, features binary").dropDuplicates(["cls"]), "sets")
-
-    first_links = stage(_verified(pivots, sets, percent), "links")
+    holders = own.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    holders = stage(holders, "holders")
+    first_links = stage(_verified(stage(_plausible(pivots, holders), "first-pairs"), docs, holders, percent), "links")
     labels = connected_components(first_links)
     labelled = (
         groups.select("gid", "cls")
         .join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-        .join(holders.select("cls", "n"), "cls")
-        .select("gid", "cls", "n", F.coalesce("root", "cls").alias("root"))
+        .select("gid", "cls", F.coalesce("root", "cls").alias("root"))
     )
     open_groups = labelled.groupBy("gid").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("gid")
     labelled = stage(labelled.join(open_groups, "gid"), "open-groups")
     one, two = labelled.alias("x"), labelled.alias("y")
     across = (
         one.join(two, "gid")
-        .where("x.root < y.root AND 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n)")
+        .where("x.root < y.root")
         .select(F.col("x.cls").alias("u"), F.col("y.cls").alias("v"))
         .distinct()
-        .join(pivots, ["u", "v"], "left_anti")
-        .join(pivots.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
     )
-    links = first_links.unionByName(_verified(stage(across, "across"), sets, percent))
-    roots = connected_components(stage(links, "links"))
+    across = stage(_plausible(across, holders), "pairs")
+    links = first_links.unionByName(_verified(across, docs, holders, percent))
+    roots = connected_components(stage(links, "all-links"))
 
     rows = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select(
         "doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("root", "cls")).alias("root")

@@ -136,13 +136,18 @@ def sequence_hash(hashes: np.ndarray) -> int:
     return int(mix(np.array([(total + len(hashes) * 0x632BE59BD9B4E019) & _MASK], dtype=np.uint64))[0])
 
 
+#: Fewer rows in an Arrow batch, as a row may hold a long text.
+BATCH_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000):
-    """Fewer rows in an Arrow batch while the block runs jobs, as a row may hold a long text."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings that hold while the block runs jobs."""
+    before = {name: spark.conf.get(name) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
