@@ -28,11 +28,12 @@ from ledgerline.llm.words import BATCH_ROWS, Words, mix, sequence_hash, settings
 from ledgerline.session import stage
 
 SHINGLE = 5
-PARTS = 0.34  # partitions of a band per feature of its largest set; over 2/7, with room for empty partitions
-COMMON = 32  # a signature of more sets is common
+PARTS = 0.5  # partitions of a band per feature of its largest set; over 2/7, so that common signatures can be left out
+COMMON = 8  # a signature of more sets is common
 BINS = 128
+COARSE = 64  # parts of the sketch that joins compare
 BUCKET_SIGNATURES = 3_000_000  # signatures in one task of the grouping, which sets the number of buckets
-SIGNATURES_PER_BYTE = 0.14
+SIGNATURES_PER_BYTE = 0.17
 SIGNATURE_BYTES = 5  # kept of a signature in its bucket; a chance meeting only costs a comparison
 
 
@@ -94,7 +95,7 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-CLASSES = "doc_id long, n_shingles long, cls long, spare_own long, spare_next long, sketch binary"
+CLASSES = "doc_id long, n_shingles long, cls long, spare_own long, spare_next long, sketch binary, coarse array<short>"
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,12 +112,18 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     spare = {role: len(s) - most for role, s, most in signatures(features)}
                     bins = max(BINS, 1 << (len(features) // 4).bit_length())
                     sketch = np.minimum(np.bincount((features % np.uint64(bins)).view(np.int64), minlength=bins), 255).astype(np.uint8)
-                    rows.append((len(features), set_class(features), spare[0], spare.get(1, 0), sketch.tobytes()))
+                    rows.append((len(features), set_class(features), spare[0], spare.get(1, 0), sketch.tobytes(), _folded(sketch, COARSE)))
                 else:
-                    rows.append((0, 0, 0, 0, b""))
+                    rows.append((0, 0, 0, 0, b"", []))
         columns = [_column(batch, "doc_id"), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(4))]
-        columns.append(pa.array([r[4] for r in rows], pa.binary()))
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "cls", "spare_own", "spare_next", "sketch"])
+        columns += [pa.array([r[4] for r in rows], pa.binary()), pa.array([r[5] for r in rows], pa.list_(pa.int16()))]
+        yield pa.RecordBatch.from_arrays(
+            columns, names=["doc_id", "n_shingles", "cls", "spare_own", "spare_next", "sketch", "coarse"]
+        )
+
+
+def _folded(sketch: np.ndarray, parts: int) -> np.ndarray:
+    return np.minimum(sketch.reshape(-1, parts).sum(axis=0, dtype=np.int64), 32767)
 
 
 SIGNED = "bucket int, cls binary, own binary, next binary, signatures binary"
@@ -226,8 +233,7 @@ def may_link(a: pd.Series, b: pd.Series, sizes: pd.Series) -> pd.Series:
     for x, y, n in zip(a, b, sizes):
         x, y = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
         parts = min(len(x), len(y))  # the finer one is folded
-        x, y = (z.reshape(-1, parts).sum(axis=0, dtype=np.int64) for z in (x, y))
-        found.append(7 * int(np.abs(x - y).sum()) <= n)
+        found.append(7 * int(np.abs(_folded(x, parts) - _folded(y, parts)).sum()) <= n)
     return pd.Series(found, dtype=bool)
 
 
@@ -254,6 +260,36 @@ def _verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame, percent: in
     return pairs.join(left, "v").join(right, "u").where(linked("fu", "fv", F.lit(percent))).select("u", "v")
 
 
+def _within_pivots(members: DataFrame) -> DataFrame:
+    """Pairs of classes with one best-connected class that are not in one component and whose sketches allow a link.
+
+    Such classes share many signatures, so they meet here once and not at every signature.
+    """
+    apart = F.aggregate(F.zip_with("x.coarse", "y.coarse", lambda a, b: F.abs(a - b).cast("int")), F.lit(0), lambda a, d: a + d)
+    condition = (
+        (F.col("x.pivot") == F.col("y.pivot"))
+        & (F.col("x.cls") < F.col("y.cls"))
+        & (F.col("x.root") != F.col("y.root"))
+        & (4 * F.least("x.n", "y.n") >= 3 * F.greatest("x.n", "y.n"))
+        & (7 * apart <= F.col("x.n") + F.col("y.n"))
+    )
+    return members.alias("x").join(members.alias("y"), condition).select(F.col("x.cls").alias("u"), F.col("y.cls").alias("v"))
+
+
+def _across_pivots(groups: DataFrame, members: DataFrame) -> DataFrame:
+    """The other pairs of classes that share a signature and are not in one component."""
+    placed = groups.select("gid", "cls").join(members.select("cls", "n", "pivot", "root"), "cls")
+    mixed = placed.groupBy("gid").agg(*(f(c).alias(f"{k}_{c}") for c in ("root", "pivot") for k, f in (("a", F.min), ("b", F.max))))
+    mixed = mixed.where("a_root <> b_root AND a_pivot <> b_pivot").select("gid")
+    placed = stage(placed.join(mixed, "gid"), "open-groups")
+    return (
+        placed.alias("x")
+        .join(placed.alias("y"), "gid")
+        .where("x.cls < y.cls AND x.root <> y.root AND x.pivot <> y.pivot AND 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n)")
+        .select(F.col("x.cls").alias("u"), F.col("y.cls").alias("v"))
+    )
+
+
 def _groups(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(gid, shared, cls) of the groups that can hold a link, after common signatures have been left out where they can."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -311,25 +347,19 @@ def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     )
     pivots = stage(pivots, "pivots")
 
-    holders = own.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    holders = own.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("coarse").alias("coarse"))
     holders = stage(holders, "holders")
     first_links = stage(_verified(stage(_plausible(pivots, holders), "first-pairs"), docs, holders, percent), "links")
     labels = connected_components(first_links)
-    labelled = (
-        groups.select("gid", "cls")
+    members = (
+        holders.join(groups.select("cls").distinct(), "cls", "left_semi")
+        .join(pivots.select(F.col("v").alias("cls"), F.col("u").alias("pivot")), "cls", "left")
         .join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-        .select("gid", "cls", F.coalesce("root", "cls").alias("root"))
-    )
-    open_groups = labelled.groupBy("gid").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("gid")
-    labelled = stage(labelled.join(open_groups, "gid"), "open-groups")
-    one, two = labelled.alias("x"), labelled.alias("y")
-    across = (
-        one.join(two, "gid")
-        .where("x.root < y.root")
-        .select(F.col("x.cls").alias("u"), F.col("y.cls").alias("v"))
-        .distinct()
+        .select("cls", "n", "coarse", F.coalesce("pivot", "cls").alias("pivot"), F.coalesce("root", "cls").alias("root"))
     )
-    across = stage(_plausible(across, holders), "pairs")
+    members = stage(members, "members")
+    pairs = _within_pivots(members).unionByName(_across_pivots(groups, members)).distinct()
+    across = stage(_plausible(pairs, holders), "pairs")
     links = first_links.unionByName(_verified(across, docs, holders, percent))
     roots = connected_components(stage(links, "all-links"))
 
