@@ -151,3 +151,46 @@ def settings(spark: SparkSession, values: dict[str, str]):
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
+
+
+def column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
+
+
+_ENDS = np.zeros(256, dtype=bool)
+_ENDS[[ord(c) for c in ".!?"]] = True
+
+
+def unit_starts(words: Words) -> np.ndarray:
+    """Indices of the words that begin a sentence: after an end mark, a line break or a text's beginning."""
+    n = len(words.starts)
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    breaks = np.concatenate(([0], np.cumsum(words.data == 10)))
+    begins = np.ones(n, dtype=bool)
+    begins[1:] = _ENDS[words.data[words.ends[:-1] - 1]] | (breaks[words.starts[1:]] > breaks[words.ends[:-1]])
+    begins[words.bounds[:-1][words.bounds[:-1] < n]] = True
+    return np.flatnonzero(begins)
+
+
+_LETTER = np.ones(256, dtype=bool)
+_LETTER[[c for c in range(33, 128) if not chr(c).isalnum()]] = False
+
+
+def stripped(words: Words, times: int = 3) -> Words:
+    """The words without up to ``times`` ASCII punctuation marks at either end; a word of such marks keeps one."""
+    starts, ends = words.starts.copy(), words.ends.copy()
+    for _ in range(times):
+        ends -= (~_LETTER[words.data[ends - 1]] & (ends - starts > 1)).astype(ends.dtype)
+        starts += (~_LETTER[words.data[starts]] & (ends - starts > 1)).astype(starts.dtype)
+    return Words(words.first, words.data, starts, ends, words.bounds, words.text_starts)
+
+
+def has_byte(words: Words, wanted: np.ndarray) -> np.ndarray:
+    """Whether each word holds one of the byte values that ``wanted`` (256 flags) marks."""
+    sums = np.concatenate(([0], np.cumsum(wanted[words.data], dtype=np.int64)))
+    return sums[words.ends] > sums[words.starts]
+
+
+DIGITS = np.zeros(256, dtype=bool)
+DIGITS[48:58] = True
