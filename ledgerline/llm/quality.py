@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.labelled import held_out, labelled_sample
 from ledgerline.llm.words import DIGITS, Words, column, has_byte, stripped, unit_starts, window_hashes, word_slices
 
-SAMPLE = 8000  # documents of either label that the model may be fitted on
+SAMPLE = 5000  # documents of either label that the model may be fitted on
 BINS = 16
 STEPS = 400
 
@@ -119,7 +119,7 @@ def _descend(gradient, size: int, rate: float = 0.05) -> np.ndarray:
     """Adam with the usual constants from zero weights."""
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
     for step in range(1, STEPS + 1):
-        g = gradient(w) + 1e-4 * w
+        g = gradient(w.astype(np.float32)) + 1e-4 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return w

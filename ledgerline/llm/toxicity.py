@@ -51,21 +51,28 @@ def noisy_or(p: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(np.bincount(text, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n))
 
 
-def fit_toxicity(features: np.ndarray, sentence: np.ndarray, text: np.ndarray, labels: np.ndarray, rate: float = 0.2) -> ToxicityModel:
-    """Gradient descent on the log loss of the documents' noisy-or; ``text`` is the document of each sentence."""
-    n, n_sentences = len(labels), len(text)
+def fit_toxicity(features: list[np.ndarray], lengths: list[np.ndarray], labels: np.ndarray, rate: float = 0.2) -> ToxicityModel:
+    """Gradient descent on the log loss of the documents' noisy-or, from each document's features by word and the word
+    counts of its sentences."""
+    n = len(labels)
     if not n or labels.min() == labels.max():
         return ToxicityModel(np.zeros(1 << BITS, dtype=np.float32), -6.0)
-    doc_of_word = np.repeat(text[sentence][:, None], 2, axis=1)
-    pairs = np.unique(doc_of_word.ravel() * (1 << BITS) + features.ravel())
-    docs, found = pairs >> BITS, pairs & ((1 << BITS) - 1)
-    share = [np.bincount(found, weights=labels[docs] == y, minlength=1 << BITS) for y in (1, 0)]
-    n_toxic, n_clean = int((labels == 1).sum()), int((labels == 0).sum())
+    share = np.zeros((2, 1 << BITS), dtype=np.int32)
+    for found, label in zip(features, labels):
+        share[label][np.unique(found)] += 1
+    n_clean, n_toxic = np.bincount(labels, minlength=2).tolist()
     # Only features that stand out among toxic documents may carry weight.
-    used = (share[0] + share[1] >= MIN_DOCS) & ((share[0] + 0.5) / (n_toxic + 1) > 3 * (share[1] + 0.5) / (n_clean + 1))
-    place = np.cumsum(used) - 1
-    at, which = np.nonzero(used[features])
-    column_of, row_of = place[features[at, which]], sentence[at]
+    used = share.sum(axis=0) >= MIN_DOCS
+    used &= (share[1] + np.float32(0.5)) / (n_toxic + 1) > 3 * (share[0] + np.float32(0.5)) / (n_clean + 1)
+    place = (np.cumsum(used) - 1).astype(np.int32)
+    text = np.repeat(np.arange(n), [len(x) for x in lengths])
+    n_sentences, first, columns, rows = len(text), 0, [], []
+    for found, words in zip(features, lengths):
+        at, which = np.nonzero(used[found])
+        columns.append(place[found[at, which]])
+        rows.append(first + np.searchsorted(np.cumsum(words), at, side="right"))
+        first += len(words)
+    column_of, row_of = np.concatenate(columns), np.concatenate(rows)
     size = int(used.sum())
     w, bias = np.zeros(size), -5.0
     m, v = np.zeros(size + 1), np.zeros(size + 1)
@@ -104,11 +111,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     """A model from at most ``sample`` training documents of either label."""
     rows = labelled_sample(docs, labels, "toxic", 5, 0, sample).select("doc_id", "label", "text")
     found = sorted(rows.mapInArrow(_features, "doc_id long, label int, features binary, lengths binary").collect())
-    features = np.concatenate([np.zeros((0, 2), dtype="<i4"), *(np.frombuffer(r["features"], dtype="<i4").reshape(-1, 2) for r in found)])
+    features = [np.frombuffer(r["features"], dtype="<i4").reshape(-1, 2) for r in found]
     lengths = [np.frombuffer(r["lengths"], dtype="<i4") for r in found]
-    text = np.repeat(np.arange(len(found)), [len(x) for x in lengths])
-    each = np.concatenate([np.zeros(0, dtype="<i4"), *lengths])
-    return fit_toxicity(features.astype(np.int64), np.repeat(np.arange(len(each)), each), text, np.array([r["label"] for r in found], dtype=np.int64))
+    return fit_toxicity(features, lengths, np.array([r["label"] for r in found], dtype=np.int64))
 
 
 SCORED = "doc_id long, score double, offending array<int>"
