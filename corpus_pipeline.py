@@ -16,6 +16,8 @@ from ledgerline.llm.registry import table
 from ledgerline.llm.toxicity import without_toxic
 from ledgerline.session import stage
 
+BROADCAST_IDS = 2_000_000  # of 8 bytes; a longer list meets the documents in a shuffle
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model calls toxic go; the model learns from the training labels of the documents given."""
@@ -32,6 +34,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     doc_id stay."""
     groups = stage(near_duplicates(docs), "components")
     dropped = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    if dropped.count() <= BROADCAST_IDS:
+        dropped = F.broadcast(dropped)
     kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
     repeated = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
