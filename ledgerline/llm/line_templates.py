@@ -117,8 +117,10 @@ def cut_text(data: np.ndarray, words: Words, text: int, dropped: np.ndarray, run
     """The text's bytes without runs of dropped records, and how many words went."""
     first, last = int(words.bounds[text]), int(words.bounds[text + 1])
     begin, end = int(words.text_starts[text]), int(words.text_starts[text + 1])
-    own = words.starts[first:last], words.ends[first:last]
-    part = Words(0, words.data, *own, np.array([0, last - first]), np.array([begin, end]))
+    data = data[begin:end]  # from here on positions count from the text's first byte
+    own = words.starts[first:last] - begin, words.ends[first:last] - begin
+    begin, end = 0, end - begin
+    part = Words(0, data, *own, np.array([0, last - first]), np.array([begin, end]))
     starts = unit_starts(part)
     ends = np.append(starts[1:], last - first)
     gone = np.zeros(len(starts), dtype=bool)
