@@ -8,6 +8,7 @@ from catalog.registry import longs, query, r, rounded
 from catalog.views import EVENTS_SQL, RISK_SQL, dirty, event_facts, events, raw_risk, table, write_lines
 from ledgerline.functions.times import epoch_micros
 from ledgerline.operators import batch, categorizer, cleaning, facts, features
+from ledgerline.plans.insights import facts_from_raw
 from ledgerline.plans import training
 from ledgerline.session import scratch_path
 from ledgerline.sources import csv, headers, sinks
@@ -227,24 +228,28 @@ def csv_roundtrip(spark, sf):
 # ------------------------------------------------------------------ models
 
 
+def _categorized(spark, sf):
+    """Fitted on a bounded sample, then every cleaned row of the table predicted."""
+    raw = raw_risk(spark, sf)
+    trained = training.train_categorizer(training.prepare_training(raw))
+    return facts_from_raw(headers.align_strict(raw, keep=("txn_id",)), trained.model, trained.edges)
+
+
 @query("categorize")
 def categorize(spark, sf):
-    prepared = training.prepare_training(raw_risk(spark, sf))
-    trained = training.train_categorizer(prepared)
-    return trained.validated.select("txn_id", "true", "pred")
+    return _categorized(spark, sf).select("txn_id", "category", "pred_category")
 
 
 @query("categorize_text")
 def categorize_text(spark, sf):
     documents = table(spark, sf, "documents").select(F.col("doc_id").alias("txn_id"), "text", F.col("lang").alias("category"))
-    model = categorizer.fit_categorizer(documents, text="text", numeric=[], max_iterations=50)
+    model = categorizer.fit_categorizer(documents, text="text", numeric=[])
     return categorizer.categorize(documents, model, numeric=[], text="text").select("txn_id", "category", "pred_category")
 
 
 def _batch(spark, sf, kind):
     rows = cleaning.clean_batch(headers.align_batch(raw_risk(spark, sf)))
-    settings = {"kind": kind, "trees": 20, "max_depth": 6, "hidden": (16,), "max_iterations": 50}
-    return batch.batch_classify(rows, batch.fit_batch_classifier(rows, **settings)).select("txn_id", "amount", "predicted_category")
+    return batch.batch_classify(rows, batch.fit_batch_classifier(rows, kind=kind)).select("txn_id", "amount", "predicted_category")
 
 
 @query("batch_classify")

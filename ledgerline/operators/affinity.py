@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def _most_frequent(facts: DataFrame, column: str, n: int) -> DataFrame:
-    counts = facts.groupBy(column).agg(F.count("*").alias("n"))
+    counts = facts.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
     return counts.orderBy(F.desc("n"), column).limit(n).select(column)
 
 
@@ -17,7 +17,7 @@ def merchant_category_affinity(
     """One row per merchant, one column per category, missing cells 0.
 
     The columns must be known when the plan is built, so unless ``categories`` names them the
-    ``top_categories`` labels are fetched first; nothing larger reaches the driver.
+    ``top_categories`` labels are fetched first; nothing larger reaches the driver. NULL is no label and no merchant.
     """
     if categories is None:
         categories = [row[0] for row in _most_frequent(facts, "pred_category", top_categories).collect()]

@@ -94,7 +94,8 @@ class IsolationForestModel:
             return pd.Series(np.exp2(-total / (len(trees) * scale)))
 
         zero = F.lit(0.0)
-        columns = [F.coalesce(F.col(f"`{f}`").cast("double"), zero) for f in self.features]
+        present = set(df.columns)  # a feature that the table lacks counts as 0
+        columns = [F.coalesce(F.col(f"`{f}`").cast("double"), zero) if f in present else zero for f in self.features]
         return df.withColumn(output, anomaly_score(*columns))
 
     def decide(self, scored: DataFrame, score: str = "anomaly_score") -> DataFrame:

@@ -60,10 +60,12 @@ def _field_count(record: Column) -> Column:
     return F.size(F.split(unquoted, ","))
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """All records as text columns plus ``_corrupt_record``, set where the field count is off.
 
-    Blank lines are skipped, and files stay splittable. The names come from the first file.
+    Blank lines are skipped. The names come from the first file, and another file with other names is an error; where
+    a line stands above the header, headers are not compared. Files stay splittable unless ``multiline`` lets quoted
+    fields hold line breaks.
     """
     cells, header_line = probe_header(spark, path)
     names = header_names(cells)
@@ -78,6 +80,9 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         .option("columnPruning", False)
         .option("escape", '"')
         .option("recursiveFileLookup", True)
+        # A file whose header differs is an error; laying the first file's names over it would swap columns.
+        .option("enforceSchema", header_line == 1)
+        .option("multiLine", multiline)
         .csv(path)
     )
     if header_line == 1:
@@ -94,9 +99,9 @@ def _too_long(df: DataFrame) -> Column:
     return record.isNotNull() & (_field_count(record) > len(df.columns) - 1)
 
 
-def read_transactions(spark: SparkSession, path: str) -> DataFrame:
+def read_transactions(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Usable records as text columns. Short ones are padded with NULL, over-long ones left out."""
-    rows = read_lines(spark, path)
+    rows = read_lines(spark, path, multiline)
     return rows.where(~_too_long(rows)).drop(CORRUPT)
 
 

@@ -207,3 +207,26 @@ def test_empty_facts_keep_their_schema(spark):
     assert {r.category: r.actual for r in budget.budget_vs_actual(empty, budgets).collect()} == {"c": 0.0, "TOTAL": 0.0}
     assert features.amount_bin(empty).count() == 0
     assert cleaning.drop_report(empty).first().rows_in == 0
+
+
+def test_time_shapes(spark):
+    shapes = {
+        "2024/01/05": "2024-01-05 00:00:00",
+        "01/02/2024 3:45 PM": "2024-01-02 15:45:00",
+        "2024-01-01T10:00:00Z": "2024-01-01 10:00:00",
+        "2024-01-05 10:00:00+02:00": "2024-01-05 08:00:00",
+        "Jan 5, 2024": "2024-01-05 00:00:00",
+        "01/02/24": "2024-01-02 00:00:00",
+        "20240105": "2024-01-05 00:00:00",
+        "2024-01-05 10": "2024-01-05 10:00:00",
+        "12345678": None,
+        "not a date": None,
+    }
+    df = spark.createDataFrame([(x,) for x in shapes], "x string")
+    found = {r.x: r.t for r in df.select("x", timestamp_from_text(F.col("x")).cast("string").alias("t")).collect()}
+    assert found == shapes
+
+
+def test_align_batch_moves_a_column_in_the_way(spark):
+    df = spark.createDataFrame([("2024-01-01", 1.0, "a", "b")], "date string, amt double, description string, merchant string")
+    assert align_batch(df).columns == ["timestamp", "amount", "merchant", "other_merchant"]

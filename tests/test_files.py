@@ -63,3 +63,16 @@ def test_staged_tables_go_to_the_shared_folder(spark):
     staged = stage(spark.range(3).selectExpr("id", "timestamp_ntz'2024-01-01' as t"), "probe")
     assert staged.count() == 3 and dict(staged.dtypes)["t"] == "timestamp_ntz"
     assert all(f.startswith(f"file://{shared_folder(spark)}/probe-") for f in staged.inputFiles())
+
+
+def test_files_with_other_column_order_fail(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("date,merchant,amount\n2024-01-01,Shop A,1\n")
+    (tmp_path / "b.csv").write_text("merchant,date,amount\nShop C,2024-01-03,3\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        csv.read_transactions(spark, str(tmp_path)).collect()
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('date,merchant,amount\n2024-01-01,"Shop\nA",1\n')
+    rows = csv.read_transactions(spark, str(tmp_path), multiline=True).collect()
+    assert [(r.merchant, r.amount) for r in rows] == [("Shop\nA", "1")]
