@@ -1,8 +1,8 @@
-"""Exact quantiles without holding all values in one task.
+"""Exact quantiles without holding all values of a group in one task.
 
-The built-in ``percentile`` keeps every distinct value of a group in memory. Here a first pass
-takes a bounded sketch and brackets each wanted rank; a second pass counts values by bracket, so
-that only the few distinct values inside a bracket are sorted: about 8 / ACCURACY of them.
+The built-in ``percentile`` keeps every distinct value of a group in memory. Here equal values are counted first, so that a
+value which a third of all rows share is one row. The counts are cut into ranges of group and value, and a running sum
+within each range is put on top of the rows in the ranges before it. No task holds more than one range, whatever a group's size.
 """
 
 from __future__ import annotations
@@ -13,67 +13,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerline.operators.lookup import attach_group_stats
+from ledgerline.session import stage
 
-ACCURACY = 100_000
-MARGIN = 4.0  # bracket width to each side, in units of the sketch's own error bound
-MISSED = "sketch bracket missed the wanted rank"
 
+def rank_values(df: DataFrame, value: str, by: list[str], parts: int | None = None) -> DataFrame:
+    """The distinct values of each group, with their ranks.
 
-def rank_values(
-    df: DataFrame, value: str, shares: list[float], by: list[str], accuracy: int = ACCURACY
-) -> DataFrame:
-    """Distinct values near the ranks at ``shares``, per group, in order.
-
-    ``value``, ``upto`` (rows of the group up to and with this value), ``n`` (rows of the group) and
-    ``gap`` (true for a row that stands for the values between two brackets). Groups of up to
-    ``accuracy`` rows are kept whole.
+    ``value``, ``upto`` (rows of the group up to and with this value), ``n`` (rows of the group) and ``_part`` (the range).
+    NULL values are left out, a NULL group is a group. The counts are staged when this is called. ``parts`` is the number
+    of ranges, by default that of shuffle partitions.
     """
     values = df.select(*by, F.col(value).alias("value")).where(F.col("value").isNotNull())
-    v = F.col("value")
-    sketch = values.groupBy(*by).agg(
-        F.count("*").alias("n"),
-        F.min(v).alias("least"),
-        F.max(v).alias("most"),
-        F.percentile_approx(v, [max(0.0, p - MARGIN / accuracy) for p in shares], accuracy).alias("low"),
-        F.percentile_approx(v, [min(1.0, p + MARGIN / accuracy) for p in shares], accuracy).alias("high"),
-    )
-    small = F.col("n") <= accuracy
-    lows, highs = [], []
-    for i, p in enumerate(shares):
-        lows.append(F.when(small | F.lit(p <= 0), F.col("least")).otherwise(F.col("low")[i]))
-        highs.append(F.when(small | F.lit(p >= 1), F.col("most")).otherwise(F.col("high")[i]))
-    bounds = sketch.select(*by, "n", F.array(*lows).alias("low"), F.array(*highs).alias("high"))
-    if by:
-        placed = attach_group_stats(values, bounds, by, ["low", "high"])
-    else:
-        ends = bounds.select(F.struct("low", "high")).scalar()
-        placed = values.withColumn("_ends", ends).select("value", "_ends.low", "_ends.high")
-    inside = reduce(Column.__or__, [(v >= F.col("low")[i]) & (v <= F.col("high")[i]) for i in range(len(shares))])
-    # Values between brackets are only counted, under the upper end of the bracket below them.
-    bracket_below = F.array_max(F.filter("high", lambda end: end < v))
-    counts = (
-        placed.select(*by, F.when(inside, v).otherwise(bracket_below).alias("value"), (~inside).alias("gap"))
-        .groupBy(*by, "value", "gap")
-        .agg(F.count("*").alias("_rows"))
+    counts = values.groupBy(*by, "value").agg(F.count("*").alias("_rows"))
+    # The rows are unique by these keys, so that ties cannot swell a range.
+    keys = [*by, "value"]
+    ranged = counts.repartitionByRange(parts, *keys) if parts else counts.repartitionByRange(*keys)
+    ranged = stage(ranged.withColumn("_part", F.spark_partition_id()), "value-counts")
+
+    # One row per range, and one more for each group that starts inside a range.
+    before = W.partitionBy(*by).orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    sizes = ranged.groupBy(*by, F.col("_part").alias("_at")).agg(F.sum("_rows").alias("_size"))
+    starts = sizes.select(
+        *[F.col(k).alias(f"_{k}") for k in by],
+        "_at",
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"),
+        F.sum("_size").over(W.partitionBy(*by)).alias("n"),
     )
-    in_order = W.partitionBy(*by).orderBy(F.asc_nulls_first("value"), "gap")
-    return counts.withColumns(
-        {
-            "upto": F.sum("_rows").over(in_order.rowsBetween(W.unboundedPreceding, 0)),
-            "n": F.sum("_rows").over(W.partitionBy(*by)),
-        }
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by], F.col("_part") == F.col("_at"))
+    within = W.partitionBy("_part", *by).orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    return (
+        ranged.withColumn("_upto", F.sum("_rows").over(within))
+        .join(starts, same)
+        .select(*by, "value", (F.col("_start") + F.col("_upto")).alias("upto"), "n", "_part")
     )
 
 
 def value_at(rank: Column) -> Column:
     """Aggregate over :func:`rank_values`: the value at a 0-based rank."""
-    found = F.min_by(F.struct("value", "gap"), F.when(F.col("upto") > rank, F.col("upto")))
-    return F.when(found["gap"], F.raise_error(F.lit(MISSED))).otherwise(found["value"])
+    return F.min_by("value", F.when(F.col("upto") > rank, F.col("upto")))
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, shares: list[float], by: list[str] | None = None, accuracy: int = ACCURACY
+    df: DataFrame, value: str, shares: list[float], by: list[str] | None = None, parts: int | None = None
 ) -> DataFrame:
     """One row per group with ``n`` and ``q`` (array, linear interpolation, in the order of ``shares``).
 
@@ -87,7 +68,7 @@ def exact_quantiles(
         wanted += [value_at(low).alias(f"_low{i}"), value_at(F.ceil(exact)).alias(f"_high{i}")]
         fractions.append(F.max(exact - low).alias(f"_part{i}"))
     picked = (
-        rank_values(df, value, shares, by, accuracy)
+        rank_values(df, value, by, parts)
         .groupBy(*by)
         .agg(F.max("n").alias("n"), *wanted, *fractions)
         .where(F.col("n").isNotNull())
@@ -98,7 +79,7 @@ def exact_quantiles(
     return picked.select(*by, "n", F.array(*quantiles).alias("q"))
 
 
-def quantile_value(df: DataFrame, value: str, share: float, accuracy: int = ACCURACY) -> float | None:
+def quantile_value(df: DataFrame, value: str, share: float) -> float | None:
     """One quantile of the whole table, fetched; None when there is no value."""
-    row = exact_quantiles(df, value, [share], accuracy=accuracy).first()
+    row = exact_quantiles(df, value, [share]).first()
     return None if row is None else float(row["q"][0])

@@ -32,14 +32,13 @@ def label_quotas(df: DataFrame, label: str, size: int) -> DataFrame:
     return shares.select(label, "n", (F.col("_base") + F.when(rank <= left, 1).otherwise(0)).alias("quota"))
 
 
-def _mark(df: DataFrame, label: str, size: int, total: int, seed: int, key: str) -> DataFrame:
+def _mark(df: DataFrame, label: str, size: int, seed: int, key: str) -> DataFrame:
     """``_drawn``: whether the row is among its label's quota."""
     hashed = df.withColumn("_hash", F.xxhash64(F.col(key), F.lit(seed)))
     quotas = label_quotas(df, label, size)
-    ranks = rank_values(hashed, "_hash", [size / max(total, 1)], [label])
-    # Few rows per label are left here, so this join is small.
+    ranks = rank_values(hashed, "_hash", [label])
     cuts = (
-        ranks.join(quotas.select(F.col(label).alias("_label"), "quota"), F.col(label).eqNullSafe(F.col("_label")))
+        attach_group_stats(ranks, quotas, [label], ["quota"])
         .where(F.col("quota") > 0)
         .groupBy(label)
         .agg(F.max("n").alias("n"), value_at(F.col("quota") - 1).cast("long").alias("_cut"))
@@ -54,7 +53,7 @@ def stratified_sample(df: DataFrame, label: str, size: int, seed: int = 42, key:
     total = df.count()
     if size >= total:
         return df
-    return _mark(df, label, size, total, seed, key).where("_drawn").drop("_drawn")
+    return _mark(df, label, size, seed, key).where("_drawn").drop("_drawn")
 
 
 def stratified_split(
@@ -62,7 +61,7 @@ def stratified_split(
 ) -> DataFrame:
     """``df`` with ``split``: ``test`` for a stratified share of the rows, else ``train``."""
     total = df.count()
-    marked = _mark(df, label, ceil(test_share * total), total, seed, key)
+    marked = _mark(df, label, ceil(test_share * total), seed, key)
     split = F.when(F.col("_drawn"), F.lit("test")).otherwise(F.lit("train"))
     return marked.withColumn("split", split).drop("_drawn")
 
