@@ -172,8 +172,9 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no item of the benchmark as :func:`find_benchmark` finds them."""
     schema = docs.schema
-    blocks = list(_blocks(benchmark))
-    for number, block in enumerate(blocks):
+    blocks = _blocks(benchmark)
+    block = next(blocks, None)
+    while block is not None:
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -184,7 +185,8 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, schema)
-        if number < len(blocks) - 1:
+        block = next(blocks, None)  # the driver holds no more blocks than this one and the last
+        if block is not None:
             with settings(docs.sparkSession, BATCH_ROWS):
                 docs = stage(docs, "decontaminated")
     return docs

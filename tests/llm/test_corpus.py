@@ -197,6 +197,16 @@ def test_benchmark_passages(spark):
     assert find_benchmark(docs.limit(0), bench).count() == find_benchmark(docs, bench.limit(0)).count() == 0
 
 
+def test_benchmark_in_several_blocks(spark, monkeypatch):
+    items = [(k, " ".join(f"w{chr(97 + k)}{chr(97 + j)}" for j in range(12))) for k in range(6)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = frame(spark, [f"before it {items[k % 6][1]} behind it" if k % 3 else "clean words of its own only" for k in range(12)])
+    monkeypatch.setattr("ledgerline.llm.decontaminate.BLOCK_ITEMS", 2)
+    found = sorted((r.doc_id, r.item_id) for r in find_benchmark(docs, bench).collect())
+    assert found == [(k, k % 6) for k in range(12) if k % 3]
+    assert sorted(r.doc_id for r in without_benchmark(docs, bench).collect()) == [0, 3, 6, 9]
+
+
 def test_slots_must_be_filled_one_to_one(spark):
     bench = spark.createDataFrame([(1, "add 12 apples to 12 pears and then take 30 plums away from the heap now")], "item_id long, text string")
     same = "add 55 apples to 55 pears and then take 91 plums away from the heap now"
