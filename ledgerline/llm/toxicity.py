@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
-A sentence's probability is logistic in its words and word beginnings; a document is toxic unless all its sentences are
-clean (noisy-or). The sentence weights are trained from document labels alone; afterwards they tell which sentences offend.
+A sentence's probability is logistic in its words and word beginnings, and 0 without a weighted one, so that length alone
+is no evidence; a document is toxic unless all its sentences are clean (noisy-or). The sentence weights are trained from document labels alone; afterwards they tell which sentences offend.
 """
 
 from __future__ import annotations
@@ -42,9 +42,11 @@ class ToxicityModel:
     bias: float
 
     def sentences(self, features: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
-        """Probability of each sentence."""
-        z = np.bincount(sentence, weights=self.weights[features].sum(axis=1), minlength=n)
-        return 1 / (1 + np.exp(-np.clip(z + self.bias, -30, 30)))
+        """Probability of each sentence; 0 without a weighted feature."""
+        own = self.weights[features]
+        z = np.bincount(sentence, weights=own.sum(axis=1), minlength=n)
+        weighted = np.bincount(sentence, weights=(own != 0).any(axis=1), minlength=n) > 0
+        return np.where(weighted, 1 / (1 + np.exp(-np.clip(z + self.bias, -30, 30))), 0.0)
 
 
 def noisy_or(p: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
@@ -74,12 +76,13 @@ def fit_toxicity(features: list[np.ndarray], lengths: list[np.ndarray], labels:
         first += len(words)
     column_of, row_of = np.concatenate(columns), np.concatenate(rows)
     size = int(used.sum())
+    weighted = np.bincount(row_of, minlength=n_sentences) > 0
     w, bias = np.zeros(size), -5.0
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     weight = np.where(labels == 1, 0.5 / n_toxic, 0.5 / n_clean)
     for step in range(1, STEPS + 1):
         z = bias + np.bincount(row_of, weights=w[column_of], minlength=n_sentences)
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        p = np.where(weighted, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
         whole = np.clip(noisy_or(p, text, n), 1e-9, 1 - 1e-9)
         slope = weight[text] * np.where(labels[text] == 1, -p * (1 - whole[text]) / whole[text], p)
         g = np.append(np.bincount(column_of, weights=slope[row_of], minlength=size) + 1e-6 * w, slope.sum())
@@ -125,7 +128,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, s
 
     Labels are read only outside the held-out fold. Whole texts are scored in one pass. Defined cases: null and empty texts
     have no sentence and score 0; a null doc_id is not held out; repeated rows stay; labels other than 0 and 1 are ignored;
-    without labels of both kinds no word has weight; other columns are ignored.
+    without labels of both kinds no word has weight and every score is 0; other columns are ignored.
     """
     weights = train_toxicity(docs, labels, sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scorer(weights, threshold), SCORED)

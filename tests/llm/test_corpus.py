@@ -304,6 +304,21 @@ def test_toxicity_finds_documents_and_sentences(spark):
     assert {r.score for r in rows if r.doc_id >= 400} == {0.0}
 
 
+def test_length_alone_is_not_toxic(spark):
+    rng = random.Random(11)
+    texts = [". ".join(prose(rng, 9, 300) + (" vile" if k % 4 == 0 and j == 2 else "") for j in range(5)) + "." for k in range(400)]
+    long = ". ".join(prose(rng, 9, 300) for _ in range(5000)) + "."
+    docs = frame(spark, texts + [long, f"{long} A vile one."])
+    trained = labels_of(spark, [(k, 1, int(k % 4 == 0)) for k in range(400)])
+    found = {r.doc_id: r for r in toxicity.score_toxicity(docs, trained).collect()}
+    assert found[400].predicted == 0 and found[400].score < 0.1 and found[400].offending == []
+    assert found[401].predicted == 1 and found[401].offending == [5000]
+    one_kind = labels_of(spark, [(k, 1, 0) for k in range(400)])
+    for labels in (one_kind, one_kind.limit(0)):
+        assert {r.score for r in toxicity.score_toxicity(docs, labels).collect()} == {0.0}
+        assert toxicity.without_toxic(docs, labels).count() == 402
+
+
 def test_noisy_or_is_the_product():
     p, text = np.array([0.2, 0.5, 0.1]), np.array([0, 0, 2])
     assert np.allclose(toxicity.noisy_or(p, text, 3), [1 - 0.8 * 0.5, 0, 0.1])
