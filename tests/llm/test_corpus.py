@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from ledgerline.llm import line_rules, packing, pages, partenum, quality, toxicity
-from ledgerline.llm.decontaminate import find_benchmark, without_benchmark
+from ledgerline.llm.decontaminate import chain, find_benchmark, without_benchmark
 from ledgerline.llm.labelled import held_out
 from ledgerline.llm.licences import scan_licences
 from ledgerline.llm.line_templates import drop_recurring_lines
@@ -197,6 +197,31 @@ def test_benchmark_passages(spark):
     assert find_benchmark(docs.limit(0), bench).count() == find_benchmark(docs, bench.limit(0)).count() == 0
 
 
+def test_benchmark_copies_cut_into_diagonals_or_in_another_case(spark):
+    items = [(1, "we asked the old keeper of Springfield how many boats came into the small harbour before noon and he told us of Edwin "
+                 "and the long grey ships that used to wait there for better weather"),
+             (2, "Berlin 1945"), (3, "12 14 19 23 31 44 58 61 70 82"), (4, "The Quick Tall Grey Wolf Near Old Stone Mill Road")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    text = items[0][1]
+    longer = text.replace("Springfield", "New Haven Town").replace("Edwin", "Mary Ann").replace("boats came", "boats often came")
+    shorter = text.replace("how many boats", "how boats").replace("he told us", "he told").replace("small harbour before", "small before")
+    one_name = text.replace("Springfield", "Riverton")
+    texts = [text, longer, f"so {text.lower()} yes", text.upper(), one_name.lower(), one_name.upper(), shorter,
+             "they left berlin 1945 for good", "Berlin 1946", items[2][1], items[2][1].replace("1", "9"), items[3][1].lower(), items[3][1],
+             "we asked the old keeper of nothing at all and then the long grey ships went by"]
+    found = sorted((r.doc_id, r.item_id) for r in find_benchmark(frame(spark, texts), bench).collect())
+    assert found == [(0, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 1), (7, 2), (9, 3), (11, 4), (12, 4)]
+
+
+def test_chains_add_up_ordered_diagonals():
+    agree = np.zeros((12, 3), dtype=np.int64)
+    agree[:4, 1] = agree[4:8, 2] = agree[8:, 0] = 1
+    assert len(chain(agree, np.array([2, 5, 6]))) == 8  # the third diagonal would go back in the document
+    assert len(chain(agree, np.array([4, 5, 6]))) == 10  # two words of the item are lacking
+    agree[:, :] = [[0, 1, 0]]
+    assert chain(agree, np.array([2, 5, 6])) == [(k, 1) for k in range(12)]
+
+
 def test_benchmark_in_several_blocks(spark, monkeypatch):
     items = [(k, " ".join(f"w{chr(97 + k)}{chr(97 + j)}" for j in range(12))) for k in range(6)]
     bench = spark.createDataFrame(items, "item_id long, text string")
