@@ -1,7 +1,7 @@
 """Text quality by positive-unlabelled learning.
 
-Trusted positives are documents labelled good; the unlabelled ones are labelled documents with their label left out, good
-and bad mixed. The class prior is estimated from both, and a logistic model over binned figures of the text minimises the
+Trusted positives are documents labelled good; the unlabelled ones are drawn by hash from all documents outside the held-out
+fold, whatever their label. The class prior is estimated from both, and a logistic model over binned figures of the text minimises the
 non-negative unbiased risk: prior * risk of positives as good + max(0, risk of unlabelled as bad - prior * risk of positives
 as bad).
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.labelled import held_out, labelled_sample
 from ledgerline.llm.words import DIGITS, Words, column, has_byte, stripped, unit_starts, window_hashes, word_slices
 
-SAMPLE = 5000  # documents of either label that the model may be fitted on
+SAMPLE = 5000  # trusted positives that the model may be fitted on, and twice as many unlabelled documents
 BINS = 16
 STEPS = 400
 
@@ -168,28 +168,43 @@ def fit_quality(positive: np.ndarray, unlabelled: np.ndarray, prior: float | Non
 def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [row.tobytes() for words in word_slices(column(batch, "text")) for row in text_figures(words)]
-        yield pa.RecordBatch.from_arrays([column(batch, "label"), pa.array(rows, pa.binary())], names=["label", "figures"])
+        yield pa.RecordBatch.from_arrays(
+            [column(batch, "label"), column(batch, "key"), pa.array(rows, pa.binary())], names=["label", "key", "figures"]
+        )
+
+
+def unlabelled_sample(docs: DataFrame, most: int) -> DataFrame:
+    """(key, text) of the documents outside the held-out fold with the ``most`` least hashes of their id, or of their text
+    without one. The cut is fetched as a number; texts are not shuffled."""
+    doc_id = F.col("doc_id").cast("long")
+    key = F.xxhash64(doc_id, F.when(doc_id.isNull(), F.col("text")), F.lit("unlabelled"))
+    rows = docs.where(~held_out("doc_id", 4, 2)).select(key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    cut = rows.select("key").distinct().orderBy("key").limit(most).agg(F.max("key")).first()[0]
+    return rows.where(F.col("key") <= F.lit(cut).cast("long"))
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityModel:
-    """A model from at most ``sample`` training documents of either label; every second good one is a trusted positive,
-    the others and the bad ones are unlabelled."""
-    rows = labelled_sample(docs, labels, "quality", 4, 2, sample).select("doc_id", "label", "text")
-    found = rows.mapInArrow(_figures, "label int, figures binary").collect()
+    """A model from at most ``sample`` training documents labelled good, the trusted positives, and twice as many unlabelled
+    ones of all training documents. Repeated rows of a document count once."""
+    positive = labelled_sample(docs, labels.where(F.col("quality").cast("int") == 1), "quality", 4, 2, sample)
+    rows = positive.select("label", F.xxhash64("doc_id").alias("key"), "text").unionByName(
+        unlabelled_sample(docs, 2 * sample).select(F.lit(0).alias("label"), "key", "text")
+    )
+    found = rows.mapInArrow(_figures, "label int, key long, figures binary").dropDuplicates().collect()
     width = text_figures(next(word_slices(pa.array([""])))).shape[1]
-    good, bad = (
+    parts = (
         np.array(sorted((np.frombuffer(r["figures"]) for r in found if r["label"] == y), key=bytes)).reshape(-1, width) for y in (1, 0)
     )
-    turn = np.random.default_rng(7).permutation(len(good))
-    return fit_quality(good[turn[::2]], np.concatenate([good[turn[1::2]], bad]))
+    turn = np.random.default_rng(7)
+    return fit_quality(*(x[turn.permutation(len(x))] for x in parts))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, held_out, score and predicted (1 from ``threshold`` on).
 
-    Labels are read only outside the held-out fold, and only to choose the trusted positives. Whole texts are scored in one
+    Labels are read only outside the held-out fold, and only label 1, to choose the trusted positives. Whole texts are scored in one
     pass. Defined cases: null and empty texts get the score of a text without words; a null doc_id is not held out; repeated
-    rows stay; labels other than 0 and 1 are ignored; without any labels every score is 0.5; other columns are ignored.
+    rows stay; labels other than 1 are ignored; without any label 1 every score is 0.5; other columns are ignored.
     """
     model = train_quality(docs, labels, sample)
 

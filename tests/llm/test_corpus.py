@@ -312,6 +312,19 @@ def test_quality_ranks_held_out_documents(spark):
     assert {r.score for r in quality.score_quality(docs, labels_of(spark, [])).collect()} == {0.5}
 
 
+def test_quality_learns_from_documents_without_a_label(spark):
+    rng = random.Random(16)
+    texts = [f"{prose(rng, 80, 900)}." if k % 3 else " | ".join(prose(rng, 60, 900).split()) for k in range(900)]
+    docs = frame(spark, texts)
+    good = [(k, 1, 0) for k in range(0, 900, 2) if k % 3]
+    model = quality.train_quality(docs, labels_of(spark, good))
+    assert abs(model.prior - 2 / 3) < 0.1
+    rows = quality.score_quality(docs, labels_of(spark, good)).collect()
+    assert np.mean([r.predicted == int(r.doc_id % 3 > 0) for r in rows if r.held_out]) > 0.95
+    bad = [(k, 0, 0) for k in range(0, 900, 6)]
+    assert {r.doc_id: r.score for r in quality.score_quality(docs, labels_of(spark, good + bad)).collect()} == {r.doc_id: r.score for r in rows}
+
+
 def test_prior_is_the_share_of_positives():
     rng = np.random.default_rng(0)
     unlabelled = np.concatenate([rng.normal(2, 1, 3000), rng.normal(-4, 1, 2000)])
