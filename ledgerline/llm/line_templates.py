@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.partenum import near_duplicates
 from ledgerline.llm.words import BATCH_ROWS, DIGITS, Words, column, has_byte, mix, settings, unit_starts, word_slices
 from ledgerline.session import stage
 
@@ -113,7 +114,7 @@ def recurring_records(keyed: DataFrame, min_docs: int) -> DataFrame:
     return templates.join(often.select("template"), "template").select("row_key", "record")
 
 
-def cut_text(data: np.ndarray, words: Words, text: int, dropped: np.ndarray, run_tokens: int, most: float) -> tuple[bytes, int]:
+def cut_text(data: np.ndarray, words: Words, text: int, dropped: np.ndarray, run_tokens: int) -> tuple[bytes, int]:
     """The text's bytes without runs of dropped records, and how many words went."""
     first, last = int(words.bounds[text]), int(words.bounds[text + 1])
     begin, end = int(words.text_starts[text]), int(words.text_starts[text + 1])
@@ -143,7 +144,7 @@ def cut_text(data: np.ndarray, words: Words, text: int, dropped: np.ndarray, run
             runs.append((int(starts[k]), int(ends[to])))
         k = to + 1
     lost = sum(b - a for a, b in runs)
-    if not lost or lost > most * (last - first):
+    if not lost:
         return data[begin:end].tobytes(), 0
     kept, at = [], begin
     for a, b in runs:
@@ -157,17 +158,45 @@ def cut_text(data: np.ndarray, words: Words, text: int, dropped: np.ndarray, run
     return b"".join(kept), lost
 
 
+def linked_copies(marked: DataFrame, run_tokens: int, most: float) -> DataFrame:
+    """_row_key of the rows of ``marked`` (_row_key, text, _dropped) that would lose more than ``most`` of their words and
+    that near-duplicate search links with another document that would lose words; a linked document shares their records."""
+
+    def losing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, loses, heavy = column(batch, "_dropped").to_pylist(), [], []
+            for words in word_slices(column(batch, "text")):
+                for k, size in enumerate(np.diff(words.bounds).tolist()):
+                    lost = cut_text(words.data, words, k, np.array(lists[words.first + k]), run_tokens)[1]
+                    loses.append(lost > 0)
+                    heavy.append(lost > most * size)
+            part = pa.RecordBatch.from_arrays([column(batch, "_row_key"), column(batch, "text"), pa.array(heavy, pa.bool_())], names=["doc_id", "text", "heavy"])
+            yield part.filter(pa.array(loses, pa.bool_()))
+
+    with settings(marked.sparkSession, BATCH_ROWS):
+        found = stage(marked.mapInArrow(losing, "doc_id long, text string, heavy boolean"), "losing")
+    heavy = found.where("heavy").select(F.col("doc_id").alias("_row_key")).distinct()
+    if heavy.isEmpty():
+        return heavy
+    groups = stage(near_duplicates(found.select("doc_id", "text")).select("doc_id", "component_id").distinct(), "linked")
+    several = groups.groupBy("component_id").count().where("count > 1").select("component_id")
+    linked = groups.join(several, "component_id").select(F.col("doc_id").alias("_row_key"))
+    return heavy.join(linked, "_row_key", "left_semi")
+
+
 def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, run_tokens: int = 5, most: float = 0.6) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) with recurring records cut from ``text``, and n_words_dropped.
 
     A record goes when its template recurs in ``min_docs`` documents and it stands in a run of such records of at least
     ``run_tokens`` tokens; records of under 4 tokens go only between others that do. A document that would lose more than
-    ``most`` of its words is a copy of another rather than a carrier of templates: it stays whole, for near-duplicate search
-    to decide. What is left keeps its line breaks and spacing.
+    ``most`` of its words and that near-duplicate search links with another is a copy rather than a carrier of templates: it
+    stays whole, for that search to decide. Any other loses its runs, a text made of templates all its words. What is left
+    keeps its line breaks and spacing.
 
     Defined cases: null and empty texts stay as they are; a null doc_id is a value like others; repeated rows count as one
     document and stay; a column of the input named n_words_dropped is replaced; no rows give no rows. Only records in leaves
-    that several documents share are shuffled in full, then texts once, to meet the numbers of their dropped records.
+    that several documents share are shuffled in full, then texts twice, to meet the numbers of their dropped records; texts
+    that would lose words are staged for the search.
     """
     spark = docs.sparkSession
     names = [c for c in docs.columns if c != "n_words_dropped"]
@@ -176,6 +205,8 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, run_tokens: int = 5
         records = recurring_records(keyed.select(F.col("_row_key").alias("row_key"), "text"), min_docs)
         dropped = records.groupBy(F.col("row_key").alias("_row_key")).agg(F.collect_set("record").alias("_dropped"))
         dropped = stage(dropped, "dropped-records")
+    copies = linked_copies(keyed.join(dropped, "_row_key").select("_row_key", "text", "_dropped"), run_tokens, most)
+    dropped = dropped.join(stage(copies, "copies"), "_row_key", "left_anti")
     schema = docs.select(*names).schema.add("n_words_dropped", "long")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +217,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, run_tokens: int = 5
                 for k in range(words.n_texts):
                     numbers = lists[words.first + k]
                     if numbers:
-                        text, lost[words.first + k] = cut_text(words.data, words, k, np.array(numbers), run_tokens, most)
+                        text, lost[words.first + k] = cut_text(words.data, words, k, np.array(numbers), run_tokens)
                         texts.append(text.decode())
                     else:
                         texts.append(None)

@@ -183,6 +183,20 @@ def test_recurring_lines_go_and_copies_stay(spark):
     assert drop_recurring_lines(frame(spark, [])).count() == 0
 
 
+def test_carriers_that_are_no_copies_lose_their_templates(spark):
+    rng = random.Random(14)
+    passages = [" ".join(" ".join("p" + invented(rng.randrange(9999)) for _ in range(10)) + "." for _ in range(10)) for _ in range(3)]
+    own = [prose(rng, 50, 9999) + "." for _ in range(6)]
+    carriers = [f"{x} {passages[0]}" for x in own]
+    stacked = [f"{prose(rng, 30, 9999)}. {passages[k % 3]} {prose(rng, 30, 9999)}. {passages[(k + 1) % 3]}" for k in range(9)]
+    story = " ".join(" ".join("q" + invented(rng.randrange(9999)) for _ in range(10)) + "." for _ in range(10))
+    copies = [f"{story} Unlike the {k * 'x'}y one" for k in range(4)]
+    found = {r.doc_id: r for r in drop_recurring_lines(frame(spark, carriers + stacked + copies)).collect()}
+    assert all(found[k].text.strip() == own[k] and found[k].n_words_dropped == 100 for k in range(6))
+    assert all(found[k].n_words_dropped == 200 for k in range(6, 15))
+    assert all(found[k].text == copies[k - 15] and found[k].n_words_dropped == 0 for k in range(15, 19))
+
+
 def test_benchmark_passages(spark):
     items = [(1, "A train leaves the station at 60 km per hour and reaches Springfield after 3 hours of steady travel along the coast."),
              (2, "too short"), (3, None), (4, "")]
