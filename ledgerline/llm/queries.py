@@ -12,6 +12,7 @@ from ledgerline.llm.line_templates import drop_recurring_lines
 from ledgerline.llm.packing import pack_documents
 from ledgerline.llm.pages import extract_text
 from ledgerline.llm.partenum import near_duplicates
+from ledgerline.llm.prefix_trie import prefix_trie, trie_sql
 from ledgerline.llm.quality import score_quality
 from ledgerline.llm.registry import query, table
 from ledgerline.llm.token_counts import token_counts
@@ -66,3 +67,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_token_counts")
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op13_prefix_trie", trie_sql())
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
