@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerline.llm.alignment import align_tokens
 from ledgerline.llm.decontaminate import find_benchmark
 from ledgerline.llm.licences import scan_licences, scan_sql
 from ledgerline.llm.line_rules import quality_rules
@@ -15,6 +16,7 @@ from ledgerline.llm.partenum import near_duplicates
 from ledgerline.llm.prefix_trie import prefix_trie, trie_sql
 from ledgerline.llm.quality import score_quality
 from ledgerline.llm.registry import query, table
+from ledgerline.llm.secret_scan import scan_secrets
 from ledgerline.llm.token_counts import token_counts
 from ledgerline.llm.toxicity import score_toxicity
 
@@ -69,6 +71,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op11_secret_scan")
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op12_merge_path_alignment")
+def op12_merge_path_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align_tokens(table(spark, sf_dir, "documents"), *paths)
+
+
 @query("op13_prefix_trie", trie_sql())
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))

@@ -99,8 +99,9 @@ def _words(data: np.ndarray, offsets: np.ndarray, first: int) -> Words:
     return Words(first, data, begin, np.flatnonzero(ends) + 1, np.searchsorted(begin, offsets), offsets)
 
 
-def word_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Words]:
-    """The column's texts in order, in slices of about ``limit`` bytes; a null text has no words."""
+def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The column's texts in order, in slices of about ``limit`` bytes: the first text's number, the slice's bytes, and the
+    positions where its texts begin and the last one ends; a null text is empty."""
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
     texts = texts.cast(pa.large_string()).fill_null("")
     n = len(texts)
@@ -113,10 +114,16 @@ def word_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Words]:
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
         to = min(to, n)
-        yield _words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], at)
+        yield at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
 
 
+def word_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Words]:
+    """The column's texts in order, in slices of about ``limit`` bytes; a null text has no words."""
+    for first, data, offsets in text_slices(texts, limit):
+        yield _words(data, offsets, first)
+
+
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of the ``size`` items from each position on, in order; the last ``size - 1`` positions are left out."""
     n = len(hashes) - size + 1
