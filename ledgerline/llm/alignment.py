@@ -266,7 +266,8 @@ def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
 def _documents_by_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         codes, _, row = _unpacked(batch)
-        again = np.append(False, (codes[1:] == codes[:-1]) & (row[1:] == row[:-1]))
+        again = np.zeros(len(codes), dtype=bool)
+        again[1:] = (codes[1:] == codes[:-1]) & (row[1:] == row[:-1])
         found, n = np.unique(codes[~again], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["code", "n"])
 
