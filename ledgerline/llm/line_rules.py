@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.session import stage
+
 SPACE = "[\\x20\\x09-\\x0D]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -39,9 +41,9 @@ def _repeat_words(words: Column) -> Column:
         )
         return bound(F.array_sort(F.array_distinct(F.flatten(pairs))), covered)
 
-    def windows(w: Column) -> Column:
-        heads = F.slice(w, 1, F.greatest(F.size(w) - (WINDOW - 1), F.lit(0)))
-        hashes = F.transform(heads, lambda _, i: F.xxhash64(F.slice(w, i + 1, WINDOW)))
+    def windows(h: Column) -> Column:
+        heads = F.slice(h, 1, F.greatest(F.size(h) - (WINDOW - 1), F.lit(0)))
+        hashes = F.transform(heads, lambda first, i: F.xxhash64(first, *(F.get(h, i + k) for k in range(1, WINDOW))))
 
         def count(h: Column) -> Column:
             rows = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
@@ -49,7 +51,7 @@ def _repeat_words(words: Column) -> Column:
 
         return bound(hashes, count)
 
-    return F.when(F.size(words) < WINDOW + 1, F.lit(0)).otherwise(bound(words, windows))
+    return F.when(F.size(words) < WINDOW + 1, F.lit(0)).otherwise(bound(F.transform(words, lambda w: F.xxhash64(w)), windows))
 
 
 def _dup_lines(text: Column) -> Column:
@@ -94,8 +96,8 @@ def host_lines(docs: DataFrame) -> DataFrame:
 
 def frequent_lines(lines: DataFrame, min_docs: int, share: float) -> DataFrame:
     """(host, line_hash) of lines in more than ``min_docs`` distinct texts and ``share`` of the host's distinct texts."""
-    counts = lines.groupBy("host", "line_hash").agg(F.count_distinct("text_hash").alias("n_docs"))
-    hosts = lines.groupBy("host").agg(F.count_distinct("text_hash").alias("host_docs"))
+    counts = lines.select("host", "line_hash", "text_hash").distinct().groupBy("host", "line_hash").agg(F.count("*").alias("n_docs"))
+    hosts = lines.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     limit = F.greatest(F.lit(float(min_docs)), F.lit(share) * F.col("host_docs"))
     return counts.where(F.col("n_docs") > min_docs).join(hosts, "host").where(F.col("n_docs") > limit).select("host", "line_hash")
 
@@ -109,16 +111,16 @@ def quality_rules(docs: DataFrame, min_docs: int = 10, share: float = 0.01, min_
 
     Defined cases: a null text is an empty one, with 0 words, and fails the base rules; a null source is a host of its
     own; null doc_ids and repeated rows stay, each with the same result; other columns are ignored; no rows give no rows.
-    Texts are never shuffled: both passes send hashes and counts only.
+    Texts are split into lines once and never shuffled: hashes and counts are staged, and all passes send those only.
     """
-    lines = host_lines(docs.select("text", "source"))
-    removed = (
-        lines.join(frequent_lines(lines, min_docs, share), ["host", "line_hash"])
+    lines = stage(host_lines(docs.select("text", "source")), "host-lines")
+    frequent = frequent_lines(lines, min_docs, share).withColumn("gone", F.lit(True))
+    left = (
+        lines.join(frequent, ["host", "line_hash"], "left")
         .groupBy("host", "text_hash")
-        .agg(F.sum("words").alias("gone"))
+        .agg((F.sum(F.when(F.col("gone"), F.col("words")).otherwise(0)) / F.sum("words")).alias("gone_share"))
+        .where("gone_share > 0")
     )
-    totals = lines.groupBy("host", "text_hash").agg(F.sum("words").alias("all_words"))
-    left = removed.join(totals, ["host", "text_hash"]).select("host", "text_hash", (F.col("gone") / F.col("all_words")).alias("gone_share"))
     rows = base_figures(docs.select("doc_id", "text", "source")).select(
         "doc_id",
         F.coalesce(F.col("source"), F.lit("")).alias("host"),
