@@ -11,7 +11,7 @@ from ledgerline.operators import batch, categorizer, cleaning, facts, features
 from ledgerline.plans.insights import facts_from_raw
 from ledgerline.plans import training
 from ledgerline.session import scratch_path
-from ledgerline.sources import csv, headers, sinks
+from ledgerline.sources import csv, headers, records, sinks
 
 EV = "WITH " + EVENTS_SQL
 
@@ -191,7 +191,7 @@ def csv_quarantine(spark, sf):
         .otherwise(full)
     )
     path = scratch_path(spark, "csv-quarantine")
-    write_lines(events(spark, sf).select("txn_id", line.alias("value")), F.col("txn_id"), ["id,date,merchant,amount"], path)
+    write_lines(events(spark, sf).select(line.alias("value")), ["id,date,merchant,amount"], path)
     usable = csv.read_transactions(spark, path).select(
         F.when(F.col("amount").isNull(), F.lit("padded")).otherwise(F.lit("kept")).alias("status"), F.col("id").cast("long").alias("id")
     )
@@ -209,10 +209,10 @@ def csv_header_probe(spark, sf):
     ]
     raw = raw_risk(spark, sf).withColumn("Unnamed: 0", F.col("txn_id"))
     cells = [F.coalesce(F.col(f"`{n}`").cast("string"), F.lit("")) for n in names]
-    lines = raw.select("txn_id", F.concat_ws(",", *cells).alias("value"))
+    lines = raw.select(F.concat_ws(",", *cells).alias("value"))
     numbers = ",".join(str(i) for i in range(len(names)))
     path = scratch_path(spark, "csv-header-probe")
-    write_lines(lines, F.col("txn_id"), [numbers, ",".join(names)], path)
+    write_lines(lines, [numbers, ",".join(names)], path)
     rows = csv.read_transactions(spark, path).withColumn("txn_id", _id())
     return _shown(cleaning.clean(headers.align_strict(rows, keep=("txn_id",))))
 
@@ -225,6 +225,59 @@ def csv_roundtrip(spark, sf):
     return rounded(longs(csv.read_transactions(spark, path), "txn_id"), amount=4)
 
 
+@query(
+    "csv_multiline",
+    f"""{EV} SELECT CASE WHEN txn_id % 20 = 9 THEN 'long' ELSE 'kept' END AS status, txn_id,
+    CASE WHEN txn_id % 20 <> 9 THEN 'Say ""' || merchant_raw || '""' || CASE WHEN txn_id % 3 = 0 THEN chr(10) || 'second, line' || chr(10) || chr(10) || 'fourth' ELSE '' END END AS merchant,
+    {r("CASE WHEN txn_id % 20 <> 9 THEN amount END")} AS amount FROM f""".replace('""', '"'),
+)
+def csv_multiline(spark, sf):
+    """Quoted merchants over several lines, read from splits of 64 kB that cut through them."""
+    more = F.when(F.col("txn_id") % 3 == 0, F.lit("\nsecond, line\n\nfourth")).otherwise(F.lit(""))
+    merchant = F.concat(F.lit('"Say ""'), "merchant", F.lit('""'), more, F.lit('"'))
+    cells = [F.col("txn_id").cast("string"), merchant, F.col("amount").cast("string")]
+    line = F.concat(F.concat_ws(",", *cells), F.when(F.col("txn_id") % 20 == 9, F.lit(",extra")).otherwise(F.lit("")))
+    path = scratch_path(spark, "csv-multiline")
+    write_lines(events(spark, sf).select(line.alias("value")), ["id,merchant,amount"], path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 16))
+    try:
+        found = records.read_records(spark, path)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    usable = found.rows.select(F.lit("kept").alias("status"), F.col("id").cast("long").alias("txn_id"), "merchant", F.col("amount").cast("double").alias("amount"))
+    refused = found.refused.select(
+        F.col("reason").alias("status"), F.element_at(F.split("record", ","), 1).cast("long").alias("txn_id"),
+        F.lit(None).cast("string").alias("merchant"), F.lit(None).cast("double").alias("amount"),
+    )
+    return rounded(usable.unionByName(refused), amount=4)
+
+
+@query("csv_mixed_headers", f"{EV} SELECT epoch_us(ts) AS micros, merchant, {r('amount')} AS amount, CASE WHEN txn_id % 4 <> 2 THEN category END AS category FROM f")
+def csv_mixed_headers(spark, sf):
+    """Four kinds of files in one folder: three orders and wordings, one with a line of numbers above the header."""
+    rows = events(spark, sf)
+    time, amount = F.col("timestamp").cast("string"), F.col("amount").cast("string")
+    filler = [F.lit("x")] * 6
+    kinds = [
+        (["Transaction Time", "Payee", "Amt", "Category"], [time, F.col("merchant"), amount, F.col("category")], False),
+        (["category", "amount", "merchant", "timestamp"], [F.col("category"), amount, F.col("merchant"), time], False),
+        (["note", "TXN_AMT", "Posting Date", "narrative"], [F.lit(""), amount, time, F.col("merchant")], False),
+        (
+            ["Unnamed: 0", "trans_date_trans_time", "merchant", "category", "amt", *(f"more{k}" for k in range(6))],
+            [F.col("txn_id").cast("string"), time, F.col("merchant"), F.col("category"), amount, *filler],
+            True,
+        ),
+    ]
+    path = scratch_path(spark, "csv-mixed")
+    for k, (names, cells, shifted) in enumerate(kinds):
+        above = [",".join(map(str, range(len(names))))] if shifted else []
+        lines = rows.where(F.col("txn_id") % len(kinds) == k).select(F.concat_ws(",", *cells).alias("value"))
+        write_lines(lines, [*above, ",".join(names)], f"{path}/kind={k}")
+    found = records.read_records(spark, path, records.canonical_names)
+    return rounded(cleaning.clean(found.rows).select(_micros(), "merchant", "amount", "category"), amount=4)
+
+
 # ------------------------------------------------------------------ models
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,16 +126,15 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def write_lines(lines: DataFrame, key: Column, heading: list[str], path: str, files: int = 8) -> None:
-    """Write text lines to ``files`` files, each of which starts with the ``heading`` lines."""
-    spark = lines.sparkSession
-    body = lines.select(F.pmod(F.xxhash64(key), F.lit(files)).cast("int").alias("file"), F.lit(len(heading)).alias("at"), "value")
-    heads = spark.range(files).select(
-        F.col("id").cast("int").alias("file"),
-        F.posexplode(F.array(*[F.lit(h) for h in heading])).alias("at", "value"),
-    )
-    ordered = heads.unionByName(body).repartition("file").sortWithinPartitions("file", "at")
-    ordered.select("file", "value").write.partitionBy("file").text(path)
+def write_lines(lines: DataFrame, heading: list[str], path: str) -> None:
+    """Write text ``lines`` (value), each file with the ``heading`` lines above its own; a file for each partition."""
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(heading, pa.string())], names=["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["value"])
+
+    lines.select("value").mapInArrow(headed, "value string").write.text(path)
 
 
 # ------------------------------------------------------------------ the same as SQL

@@ -42,6 +42,11 @@ def probe_header(spark: SparkSession, path: str) -> tuple[list[str], int]:
     lines = [cells_of(line) for line in first_lines(spark, path, 2)]
     if not lines:
         raise ValueError(f"no lines in {path}")
+    return header_of(lines)
+
+
+def header_of(lines: list[list[str]]) -> tuple[list[str], int]:
+    """Which of the cells of a file's first two lines are its header, and where they stand."""
     first = lines[0]
     if len(lines) < 2 or len(first) <= DATA_LIKE_COLUMNS or KNOWN_HEADER in first:
         return first, 0
@@ -60,12 +65,11 @@ def _field_count(record: Column) -> Column:
     return F.size(F.split(unquoted, ","))
 
 
-def read_lines(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """All records as text columns plus ``_corrupt_record``, set where the field count is off.
 
     Blank lines are skipped. The names come from the first file, and another file with other names is an error; where
-    a line stands above the header, headers are not compared. Files stay splittable unless ``multiline`` lets quoted
-    fields hold line breaks.
+    a line stands above the header, headers are not compared. Files stay splittable; a record is a line.
     """
     cells, header_line = probe_header(spark, path)
     names = header_names(cells)
@@ -82,7 +86,6 @@ def read_lines(spark: SparkSession, path: str, multiline: bool = False) -> DataF
         .option("recursiveFileLookup", True)
         # A file whose header differs is an error; laying the first file's names over it would swap columns.
         .option("enforceSchema", header_line == 1)
-        .option("multiLine", multiline)
         .csv(path)
     )
     if header_line == 1:
@@ -100,14 +103,28 @@ def _too_long(df: DataFrame) -> Column:
 
 
 def read_transactions(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """Usable records as text columns. Short ones are padded with NULL, over-long ones left out."""
-    rows = read_lines(spark, path, multiline)
+    """Usable records as text columns. Short ones are padded with NULL, over-long ones left out.
+
+    With ``multiline`` quoted fields may hold line breaks and each file has a header of its own
+    (:func:`ledgerline.sources.records.read_records`); files stay splittable either way.
+    """
+    if multiline:
+        return _records(spark, path).rows
+    rows = read_lines(spark, path)
     return rows.where(~_too_long(rows)).drop(CORRUPT)
 
 
-def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
-    """The over-long records that :func:`read_transactions` leaves out, as lines of text."""
+def read_quarantine(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """The over-long records that :func:`read_transactions` leaves out, as text; with ``multiline`` torn ones as well."""
+    if multiline:
+        return _records(spark, path).refused.select("record", "fields")
     cells, _ = probe_header(spark, path)
     lines = spark.read.option("recursiveFileLookup", True).text(path)
     counted = lines.select(F.col("value").alias("record"), _field_count(F.col("value")).alias("fields"))
     return counted.where(F.col("fields") > len(cells))
+
+
+def _records(spark: SparkSession, path: str):
+    from ledgerline.sources.records import read_records  # it builds on this module
+
+    return read_records(spark, path)
