@@ -136,7 +136,8 @@ OVERVIEW = "leaf long, n_docs long, row_key long, n_words long, sketch binary, b
 
 
 def _overview(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each leaf with the number of texts of a slice that hold it, and each text's sketch; a text that the task has met is left out."""
+    """Each leaf with the number of texts of a slice that hold it, and a row for each text with a shingle, with its sketch;
+    of a text that the task has met, no leaves and no sketch."""
     names = [f.split()[0] for f in OVERVIEW.split(", ")]
     kinds = [*[pa.int64()] * 4, pa.binary(), pa.list_(pa.int64())]
     seen: set[int] = set()
@@ -148,11 +149,13 @@ def _overview(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = (n >= MIN_TOKENS) & new[words.first + text]
             leaf, counts = np.unique(_leaves_by_text(text[keep], leaf[keep])[1], return_counts=True)  # summed before any shuffle
             filled, least = _least_by_bin(words)
-            least, filled = least[new[words.first + filled]], filled[new[words.first + filled]]
+            fresh = new[words.first + filled]
             sketches = np.where(least == np.uint64((1 << 64) - 1), EMPTY, (mix(least) & np.uint64(0x7FFF)).astype(np.uint16))
+            shown = [x.tobytes() if f else None for x, f in zip(sketches, fresh)]
+            bands = [x if f else None for x, f in zip(_bands(least).tolist(), fresh)]
             for columns in (
                 [leaf, counts, None, None, None, None],
-                [None, None, keys[words.first + filled], np.diff(words.bounds)[filled], [x.tobytes() for x in sketches], _bands(least).tolist()],
+                [None, None, keys[words.first + filled], np.diff(words.bounds)[filled], shown, bands],
             ):
                 size = next(len(c) for c in columns if c is not None)
                 arrays = [pa.nulls(size, k) if c is None else pa.array(c, k) for c, k in zip(columns, kinds)]
@@ -192,15 +195,16 @@ def recurring_records(keyed: DataFrame, min_docs: int, passage_docs: int, most:
     leaves = overview.where(F.col("leaf").isNotNull()).groupBy("leaf").agg(F.sum("n_docs").alias("n_docs"))
     shared = stage(leaves.where(F.col("n_docs") >= passage_docs).select("leaf"), "shared-leaves")
     records = stage(keyed.mapInArrow(_records, RECORDS).join(shared, "leaf"), "shared-records")
-    firsts = (F.first(c).alias(c) for c in ("n_words", "sketch", "bands"))
-    texts = overview.where(F.col("sketch").isNotNull()).groupBy("row_key").agg(*firsts)
-    n_copies = keyed.groupBy("row_key").agg(F.count("*").alias("n_copies"))
-    texts = stage(texts.join(n_copies, "row_key"), "sketches")
+    firsts = (F.first(c, ignorenulls=True).alias(c) for c in ("n_words", "sketch", "bands"))
+    texts = overview.where(F.col("row_key").isNotNull()).groupBy("row_key").agg(F.count("*").alias("n_copies"), *firsts)
+    texts = stage(texts, "sketches")
     classes = stage(copies(texts), "copies")
     few = F.broadcast(classes) if classes.count() <= BROADCAST_CLASSES else classes
     records = records.join(few, "row_key", "left").withColumn("class", F.coalesce("class", "row_key"))
     segments = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"s{k}").alias("hash"), F.col(f"l{k}").alias("literal")) for k in range(SEGMENTS)))
-    parts = records.select("row_key", "class", "record", "leaf", "n_tokens", "head", F.explode(segments).alias("s")).select(
+    # Of a record of under seven tokens some segments are empty.
+    first, end = (F.floor((F.col("n_tokens") - LEADING) * (F.col("s.k") + k) / SEGMENTS) for k in (0, 1))
+    parts = records.select("row_key", "class", "record", "leaf", "n_tokens", "head", F.explode(segments).alias("s")).where(first < end).select(
         "row_key", "class", "record", "leaf", "n_tokens", "head", "s.k", "s.hash", "s.literal"
     )
     fixed = parts.select("leaf", "k", "hash", "class").distinct().groupBy("leaf", "k", "hash").count()
