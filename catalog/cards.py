@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from catalog.registry import longs, query, r, rounded
@@ -198,6 +199,53 @@ def risk_manifest(spark, sf):
 # ------------------------------------------------------------------ forest
 
 
+# A fixed forest of four trees: tree, node, feature, threshold, left, right, path. A leaf points to itself.
+FOREST_FEATURES = ["amount", "amount_z", "geo_dist_km", "prev_txn_delta_min", "merchant_conc_ewm"]
+FOREST_NODES = [
+    (0, 0, 1, 1.53217, 1, 2, 0.0), (0, 1, 0, 55.31931, 3, 4, 0.0), (0, 2, 2, 611.70013, 5, 6, 0.0), (0, 3, -1, 1e300, 3, 3, 9.25),
+    (0, 4, -1, 1e300, 4, 4, 8.5), (0, 5, -1, 1e300, 5, 5, 5.5), (0, 6, -1, 1e300, 6, 6, 2.0),
+    (1, 0, 2, 350.12347, 1, 2, 0.0), (1, 1, 4, 0.23571, 3, 4, 0.0), (1, 2, -1, 1e300, 2, 2, 4.75), (1, 3, -1, 1e300, 3, 3, 9.5), (1, 4, -1, 1e300, 4, 4, 7.25),
+    (2, 0, 3, 61.70009, 1, 2, 0.0), (2, 1, 1, 0.81113, 3, 4, 0.0), (2, 2, 0, 20.00071, 5, 6, 0.0), (2, 3, -1, 1e300, 3, 3, 6.5),
+    (2, 4, 0, 90.10017, 7, 8, 0.0), (2, 5, -1, 1e300, 5, 5, 8.75), (2, 6, -1, 1e300, 6, 6, 9.0), (2, 7, -1, 1e300, 7, 7, 5.0), (2, 8, -1, 1e300, 8, 8, 3.0),
+    (3, 0, -1, 1e300, 0, 0, 8.0),
+]
+FOREST = forest.IsolationForestModel(
+    FOREST_FEATURES, 256, 3, -0.58, pd.DataFrame(FOREST_NODES, columns=["tree", "node", "feature", "threshold", "left", "right", "path"])
+)
+_STEP = "SELECT c.txn_id, c.x, c.tree, CASE WHEN c.x[n.feature + 1] <= n.threshold THEN n.l ELSE n.r END AS node FROM {} c JOIN nodes n USING (tree, node)"
+FOREST_SQL = f""",
+nodes(tree, node, feature, threshold, l, r, path) AS (SELECT t, n, greatest(f, 0), h, a, b, p FROM (VALUES {", ".join(map(str, FOREST_NODES))}) AS v(t, n, f, h, a, b, p)),
+c0 AS (SELECT txn_id, [{", ".join(f"coalesce(CAST({c} AS DOUBLE), 0)" for c in FOREST_FEATURES)}] AS x, tree, 0 AS node FROM x, (SELECT DISTINCT tree FROM nodes)),
+c1 AS ({_STEP.format("c0")}),
+c2 AS ({_STEP.format("c1")}),
+c3 AS ({_STEP.format("c2")}),
+scores AS (SELECT txn_id, pow(2, -sum(path) / (4 * {float(forest.mean_path(256))!r})) AS anomaly_score FROM c3 JOIN nodes USING (tree, node) GROUP BY 1),
+found AS (SELECT x.*, anomaly_score, -anomaly_score + 0.58 AS forest_decision FROM x JOIN scores USING (txn_id))"""
+
+
+@query("forest_score", f"{X}{FOREST_SQL} SELECT txn_id, {r('anomaly_score', 9)} AS anomaly_score FROM found")
+def forest_score(spark, sf):
+    return rounded(FOREST.score_in_joins(_features(spark, sf)).select("txn_id", "anomaly_score"), anomaly_score=9)
+
+
+@query("forest_flags", f"{X}{FOREST_SQL} SELECT txn_id, {r('forest_decision', 9)} AS decision, forest_decision < 0 AS is_anomaly FROM found")
+def forest_flags(spark, sf):
+    flagged = FOREST.decide(FOREST.score_in_joins(_features(spark, sf)))
+    return rounded(flagged.select("txn_id", "decision", "is_anomaly"), decision=9)
+
+
+@query(
+    "forest_alerts",
+    f"""WITH {flagged_sql(z_cut=2.0, model=FOREST_SQL, rows="found", decision="forest_decision")}
+    SELECT txn_id, merchant, {r('amount')} AS amount, reasons, {r('risk_score', 6)} AS risk_score FROM z WHERE is_alert""",
+)
+def forest_alerts(spark, sf):
+    """Rules and the score of the fixed forest together, as the scoring plan puts them."""
+    scored = FOREST.decide(FOREST.score_in_joins(_features(spark, sf, baseline=True)))
+    alerts = risk.alerts_only(risk.flag_alerts(risk.risk_score(stage(risk.apply_rules(scored, z_cut=2.0), "forest-alerts"))))
+    return rounded(_reasons(alerts, "txn_id", "merchant", "amount", "risk_score"), amount=4, risk_score=6)
+
+
 @query("risk_iforest")
 def risk_iforest(spark, sf):
     features = stage(_features(spark, sf), "risk-features")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from catalog.registry import longs, query, r, rounded
 from catalog.views import EVENTS_SQL, RISK_SQL, dirty, event_facts, events, raw_risk, table, write_lines
 from ledgerline.functions.times import epoch_micros
-from ledgerline.operators import batch, categorizer, cleaning, facts, features
+from ledgerline.operators import batch, categorizer, cleaning, facts, features, forest, risk
+from ledgerline.operators.forest_stage import IsolationForestStage
 from ledgerline.plans.insights import facts_from_raw
 from ledgerline.plans import training
 from ledgerline.session import scratch_path
@@ -313,3 +315,64 @@ def batch_classify(spark, sf):
 @query("batch_classify_mlp")
 def batch_classify_mlp(spark, sf):
     return _batch(spark, sf, "mlp")
+
+
+BATCH_ROWS_SQL = f"WITH {RISK_SQL} SELECT count(*) AS n_rows, count(*) AS n_equal FROM g WHERE amount IS NOT NULL"
+
+
+def _batch_by_tables(spark, sf, kind):
+    """How many rows the model's tables and the model itself predict alike."""
+    rows = cleaning.clean_batch(headers.align_batch(raw_risk(spark, sf)))
+    model = batch.fit_batch_classifier(rows, kind=kind)
+    own = batch.classify_by_tables(rows, model).withColumnRenamed("predicted_category", "own")
+    both = batch.batch_classify(rows, model).join(own, "txn_id")
+    equal = F.count(F.when(F.col("own").eqNullSafe(F.col("predicted_category")), 1))
+    return both.agg(F.count("*").alias("n_rows"), equal.alias("n_equal"))
+
+
+@query("batch_forest_by_tables", BATCH_ROWS_SQL)
+def batch_forest_by_tables(spark, sf):
+    return _batch_by_tables(spark, sf, "rf")
+
+
+@query("batch_mlp_by_tables", BATCH_ROWS_SQL)
+def batch_mlp_by_tables(spark, sf):
+    return _batch_by_tables(spark, sf, "mlp")
+
+
+GRADIENT_BOUND = 1e-3
+
+
+@query("categorize_residual", "SELECT lang AS category, count(*) AS n, TRUE AS optimal FROM documents WHERE lang IS NOT NULL GROUP BY 1")
+def categorize_residual(spark, sf):
+    """The fit of ``categorize_text`` proved by its gradient: a row per label, optimal within a stated bound."""
+    documents = table(spark, sf, "documents").select(F.col("doc_id").alias("txn_id"), "text", F.col("lang").alias("category"))
+    model = categorizer.fit_categorizer(documents, text="text", numeric=[], tolerance=1e-7)
+    found = categorizer.optimality(documents, model, text="text", numeric=[])
+    return found.select("category", "n", (F.col("gradient") < GRADIENT_BOUND).alias("optimal"))
+
+
+@query(
+    "model_roundtrip",
+    f"""WITH {RISK_SQL} SELECT 'forest' AS model, count(*) AS n_rows, count(*) AS n_equal FROM g
+    UNION ALL SELECT 'categories', count(*), count(*) FROM documents""",
+)
+def model_roundtrip(spark, sf):
+    """Both kinds of models saved and loaded as pipelines, and the rows that each predicts as before."""
+    facts_ = features.geo_distance(risk.risk_base(raw_risk(spark, sf)))
+    fitted, _ = forest.fit_isolation_forest(facts_.select("txn_id", "amount", "geo_dist_km"), ["amount", "geo_dist_km"], trees=32, sample_size=128)
+    documents = table(spark, sf, "documents").select(F.col("doc_id").alias("txn_id"), "text", F.col("lang").alias("category"))
+    pipelines = [
+        ("forest", PipelineModel([IsolationForestStage(fitted)]), facts_.select("txn_id", "amount", "geo_dist_km"), "anomaly_score"),
+        ("categories", categorizer.fit_categorizer(documents, text="text", numeric=[], max_iterations=20), documents.na.fill("", ["text"]), "pred_category"),
+    ]
+    results = []
+    for name, model, rows, shown in pipelines:
+        path = scratch_path(spark, "model")
+        model.write().save(path)
+        before = model.transform(rows).select("txn_id", F.col(shown).alias("before"))
+        after = PipelineModel.load(path).transform(rows).select("txn_id", F.col(shown).alias("after"))
+        equal = F.count(F.when(F.col("before").eqNullSafe(F.col("after")), 1))
+        both = before.join(after, "txn_id").agg(F.count("*").alias("n_rows"), equal.alias("n_equal"))
+        results.append(both.select(F.lit(name).alias("model"), "n_rows", "n_equal"))
+    return results[0].unionByName(results[1])

@@ -201,11 +201,14 @@ x AS (
 )
 
 
-def flagged_sql(z_cut: float = 4.0, geo_km: float = 1000.0, vel_mul: float = 4.5, pct: float = 99.0, rules: int = 2) -> str:
-    """Rules, score (from -amount_z as the decision), threshold and alert flag."""
+def flagged_sql(
+    z_cut: float = 4.0, geo_km: float = 1000.0, vel_mul: float = 4.5, pct: float = 99.0, rules: int = 2,
+    model: str = "", rows: str = "x", decision: str = "-amount_z",
+) -> str:
+    """Rules, score, threshold and alert flag. ``model`` holds more tables that give ``rows`` their ``decision``."""
     return (
         RISK_SQL
-        + f""",
+        + f"""{model},
 y AS (
   SELECT *, concat_ws(',', CASE WHEN amount_z > {z_cut} THEN 'high_z' END,
                       CASE WHEN rapid_swipes = 1 THEN 'rapid_swipes' END,
@@ -214,8 +217,8 @@ y AS (
                       CASE WHEN roll_sum_N > long_baseline * {vel_mul} THEN 'velocity_spike' END) AS reasons,
          CAST(amount_z > {z_cut} AS INT) + rapid_swipes + repeat_small_charge + CAST(geo_dist_km > {geo_km} AS INT)
          + CAST(roll_sum_N > long_baseline * {vel_mul} AS INT) AS hits,
-         -amount_z AS decision
-  FROM x),
+         {decision} AS decision
+  FROM {rows}),
 s AS (
   SELECT *, (-decision - min(decision) OVER ()) / (max(decision) OVER () - min(decision) OVER () + 1e-9) AS risk_score FROM y),
 a AS (

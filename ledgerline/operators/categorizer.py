@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.operators.sampling import class_weights
+from ledgerline.session import stage
 
 # Settings of the category model.
 TOKEN_PATTERN = r"(?U)\b\w\w+\b"
@@ -76,6 +77,7 @@ def fit_categorizer(
     numeric: list[str] | None = None,
     state: str | None = None,
     max_iterations: int = MAX_ITERATIONS,
+    tolerance: float = TOLERANCE,
 ) -> PipelineModel:
     """Fit on rows with a label. The result maps ``text`` and ``numeric`` columns to ``pred_category``."""
     numeric = NUMERIC if numeric is None else numeric
@@ -104,7 +106,7 @@ def fit_categorizer(
         family="multinomial",
         standardization=False,
         maxIter=max_iterations,
-        tol=TOLERANCE,
+        tol=tolerance,
         regParam=1.0 / (INVERSE_REGULARISATION * max(total, 1)),
     ).fit(prepared)
     prepared.unpersist()
@@ -117,3 +119,56 @@ def categorize(df: DataFrame, model: PipelineModel, numeric: list[str] | None =
     numeric = NUMERIC if numeric is None else numeric
     predicted = model.transform(df.na.fill(0, numeric).na.fill("", [text]))
     return predicted.select(*df.columns, "pred_category")
+
+
+def feature_entries(df: DataFrame, model: PipelineModel, key: str, text: str, numeric: list[str]) -> DataFrame:
+    """(``key``, feature, value) of the features that are not 0: normal TF-IDF of the vocabulary's terms, then ``numeric``."""
+    counter, product = model.stages[1], model.stages[2]
+    terms = [(t, k, float(w)) for k, (t, w) in enumerate(zip(counter.vocabulary, product.getScalingVec().toArray()))]
+    vocabulary = F.broadcast(df.sparkSession.createDataFrame(terms, "term string, feature int, idf double"))  # at most MAX_TERMS rows
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN_PATTERN), F.lit(0))
+    counted = df.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    weighted = counted.join(vocabulary, "term").select(key, "feature", (F.col("n") * F.col("idf")).alias("value"))
+    norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
+    words = weighted.join(norms, key).select(key, "feature", (F.col("value") / F.col("norm")).alias("value"))
+    figures = [F.struct(F.lit(len(terms) + k).alias("feature"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("value")) for k, c in enumerate(numeric)]
+    if not figures:
+        return words
+    return words.unionByName(df.select(key, F.inline(F.array(*figures))).where("value <> 0"))
+
+
+def optimality(
+    df: DataFrame, model: PipelineModel, key: str = "txn_id", text: str = "merchant", label: str = "category", numeric: list[str] | None = None
+) -> DataFrame:
+    """(``label``, n, gradient) for the rows ``df`` that ``model`` was fitted on: how far its weights are from the optimum.
+
+    The loss is convex, so a gradient of 0 proves the fit whatever the optimiser did. It is found without the optimiser's
+    code: scores of a row are a sum over its features, and the gradient of a weight a sum over the feature's rows. gradient is
+    the greatest absolute partial derivative of the class's weights and intercept. ``key`` is unique and not NULL.
+    """
+    numeric = NUMERIC if numeric is None else numeric
+    classifier, labels = model.stages[-2], model.stages[-1].getLabels()
+    rows = df.where(F.col(label).isNotNull())
+    entries = stage(feature_entries(rows, model, key, text, numeric), "feature-entries")
+    matrix = classifier.coefficientMatrix.toArray().T.tolist()
+    weights = F.broadcast(df.sparkSession.createDataFrame(list(enumerate(matrix)), "feature int, weights array<double>"))
+    classes = range(len(labels))
+    sums = entries.join(weights, "feature").groupBy(key).agg(*(F.sum(F.col("value") * F.col("weights")[k]).alias(f"z{k}") for k in classes))
+    weighted = rows.join(F.broadcast(class_weights(rows, label).select(label, "weight")), label).select(key, label, "weight")
+    scores = weighted.join(sums, key, "left").select(
+        key, label, "weight", F.array(*(F.exp(F.coalesce(f"z{k}", F.lit(0.0)) + float(classifier.interceptVector[k])) for k in classes)).alias("e")
+    )
+    total = F.aggregate("e", F.lit(0.0), lambda s, v: s + v)
+    errors = [F.col("weight") * (F.col("e")[k] / total - (F.col(label) == name).cast("double")) for k, name in enumerate(labels)]
+    scores = stage(scores.select(key, label, "weight", F.array(*errors).alias("error")), "class-errors")
+    n = scores.agg(F.sum("weight")).scalar()
+    by_class = [F.sum(F.col("value") * F.col("error")[k]) for k in classes]
+    sloped = entries.join(scores.select(key, "error"), key).groupBy("feature").agg(F.array(*by_class).alias("slope"))
+    penalty = classifier.getRegParam()
+    sloped = weights.join(sloped, "feature", "left").select(
+        F.array(*(F.coalesce(F.col("slope")[k], F.lit(0.0)) / n + penalty * F.col("weights")[k] for k in classes)).alias("slope")
+    )
+    sloped = sloped.unionByName(scores.agg(F.array(*(F.sum(F.col("error")[k]) / n for k in classes)).alias("slope")))
+    greatest = sloped.agg(F.array(*(F.max(F.abs(F.col("slope")[k])) for k in classes)).alias("g"))
+    named = greatest.select(F.inline(F.arrays_zip(F.array(*map(F.lit, labels)).alias(label), F.col("g").alias("gradient"))))
+    return scores.groupBy(label).agg(F.count("*").alias("n")).join(F.broadcast(named), label).select(label, "n", "gradient")

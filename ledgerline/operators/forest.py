@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerline.operators.quantiles import exact_quantiles
+from ledgerline.operators.trees import leaves, node_table
 from ledgerline.session import stage
 
 # Functions of this module travel to the executors by value, so these need no copy of the package.
@@ -98,6 +99,18 @@ class IsolationForestModel:
         columns = [F.coalesce(F.col(f"`{f}`").cast("double"), zero) if f in present else zero for f in self.features]
         return df.withColumn(output, anomaly_score(*columns))
 
+    def score_in_joins(self, df: DataFrame, key: str = "txn_id", output: str = "anomaly_score") -> DataFrame:
+        """What :meth:`score` gives, by joins with the node table instead of Python workers; ``key`` is unique and not NULL."""
+        present = set(df.columns)
+        zero = F.lit(0.0)
+        columns = [F.coalesce(F.col(f"`{f}`").cast("double"), zero) if f in present else zero for f in self.features]
+        nodes = node_table(df.sparkSession.createDataFrame(self.nodes, NODE_SCHEMA), "path")
+        trees = int(self.nodes["tree"].max()) + 1
+        reached = leaves(df.select(F.col(key).alias("_key"), F.array(*columns).alias("x")), nodes, trees, self.max_depth)
+        scale = trees * (float(mean_path(self.sample_size)) or 1.0)
+        scores = reached.groupBy("_key").agg(F.pow(F.lit(2.0), -F.sum("path") / scale).alias(output))
+        return df.join(scores, F.col(key) == F.col("_key")).drop("_key")
+
     def decide(self, scored: DataFrame, score: str = "anomaly_score") -> DataFrame:
         """``decision`` (below 0 is an anomaly) and ``is_anomaly`` from the score."""
         decision = -F.col(score) - F.lit(self.offset)
