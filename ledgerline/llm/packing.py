@@ -6,8 +6,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.session import stage
+
 CAPACITY = 2048
 SHARD_PIECES = 4096  # pieces packed together; the number of shards grows with the table
+FULL_BINS = 1 << 62  # bins of full pieces are numbered from here on
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -68,8 +71,9 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, cluster: str | Non
 
     A text longer than ``capacity`` words is cut into full pieces, which fill bins alone, and a rest. No bin holds more
     words than ``capacity``, two pieces of one source or two of one duplicate cluster: the column named by ``cluster``,
-    else the hash of the text with case and spacing levelled. Pieces are dealt by hash to shards of about 4,096, packed
-    longest first, each piece into the tightest compatible bin of its shard; a hot source or cluster is spread evenly.
+    else the hash of the text with case and spacing levelled. Rests are dealt by hash to shards of about 4,096, packed
+    longest first, each into the tightest compatible bin of its shard; a hot source or cluster is spread evenly, and rows
+    that are all alike by their number in the files. Words are counted once; texts are never shuffled.
 
     Defined cases: a text without words, empty or null has one row with a null bin_id and 0 words; a null source conflicts
     with no other; null doc_ids and repeated rows are packed like others, copies apart; other columns are ignored.
@@ -81,27 +85,34 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, cluster: str | Non
         (F.xxhash64(level) if cluster is None else F.xxhash64(cluster)).alias("cluster"),
         F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORDS)).cast("long").alias("all_words"),
     )
-    last = F.greatest(F.ceil(F.col("all_words") / capacity) - 1, F.lit(0)).cast("long")
-    pieces = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece")).select(
-        F.xxhash64("doc_id", "cluster", "piece").alias("spread"),
-        "doc_id", "source", "cluster", "piece",
-        (F.col("piece") * capacity).alias("first_word"),
-        F.least(F.col("all_words") - F.col("piece") * capacity, F.lit(capacity)).cast("long").alias("n_words"),
+    rows = stage(rows.withColumn("slot", F.monotonically_increasing_id()), "word-counts")
+    full = F.floor(F.col("all_words") / capacity)
+    fields = ["bin_id", "doc_id", "piece", "first_word", "n_words", "source", "cluster"]
+
+    # A full piece fills a bin alone, so only what is left of each row goes to the packer.
+    whole = rows.where(full > 0).select("*", F.explode(F.sequence(F.lit(0).cast("long"), full - 1)).alias("piece"))
+    whole = stage(whole.withColumn("number", F.monotonically_increasing_id()), "full-pieces").select(
+        (F.col("number") + F.lit(FULL_BINS)).alias("bin_id"), "doc_id", "piece", (F.col("piece") * capacity).alias("first_word"),
+        F.lit(capacity).cast("long").alias("n_words"), "source", "cluster",
+    )
+    rests = rows.withColumn("n_words", F.col("all_words") - full * capacity).where("n_words > 0")
+    same = rests.groupBy("doc_id", "cluster").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("s_id"), F.col("cluster").alias("s_cluster"))
+    repeated = F.col("s_cluster").isNotNull()
+    rests = rests.join(same, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("cluster") == F.col("s_cluster")), "left").select(
+        F.xxhash64("doc_id", "cluster", F.when(repeated, F.col("slot")).otherwise(-1)).alias("spread"),
+        "doc_id", "source", "cluster", full.alias("piece"), (full * capacity).alias("first_word"), "n_words",
     )
-    shards = max(1, -(-docs.count() // SHARD_PIECES))
+    shards = max(1, -(-rows.where(F.col("all_words") % capacity > 0).count() // SHARD_PIECES))
 
     def fill(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values(["n_words", "doc_id", "piece", "spread"], ascending=[False, True, True, True])
         sources = [None if pd.isna(s) else s for s in shard["source"]]
         numbers = pack(shard["n_words"].tolist(), sources, shard["cluster"].tolist(), capacity)
         shard["bin_id"] = [int(k) * (1 << 32) + n for k, n in zip(shard["shard"], numbers)]
-        return shard[["bin_id", "doc_id", "piece", "first_word", "n_words", "source", "cluster"]]
-
-    empty = pieces.where("n_words = 0").select(F.lit(None).cast("long").alias("bin_id"), "doc_id", "piece", "first_word", "n_words", "source", "cluster")
-    filled = (
-        pieces.where("n_words > 0")
-        .withColumn("shard", F.pmod("spread", F.lit(shards)))
-        .groupBy("shard")
-        .applyInPandas(fill, PACKED)
+        return shard[fields]
+
+    empty = rows.where("all_words = 0").select(
+        F.lit(None).cast("long").alias("bin_id"), "doc_id", *(F.lit(0).cast("long").alias(c) for c in fields[2:5]), "source", "cluster"
     )
-    return filled.unionByName(empty)
+    filled = rests.withColumn("shard", F.pmod("spread", F.lit(shards))).groupBy("shard").applyInPandas(fill, PACKED)
+    return filled.unionByName(whole).unionByName(empty)
