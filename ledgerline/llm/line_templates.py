@@ -33,6 +33,7 @@ ALIKE = 0.7  # estimated similarity of the shingles of copies; near-duplicates h
 BINS_LOG = 8  # a sketch has 256 bins, each with the least hash of its part of the domain
 BANDS, BAND = 20, 3  # bins that two texts must share to be compared; at a similarity of 0.75 once in 50,000 times no band does
 EMPTY = np.uint16(0xFFFF)
+SLICE = 300_000  # bytes of text in work at a time, as two tasks and their arrays share an executor with its heap
 SEEN = 1_000_000  # texts that a task remembers, so that it sends the records of a repeated text once
 BROADCAST_CLASSES = 1_000_000  # of 16 bytes
 _FIELD = mix(np.array([3], dtype=np.uint64))[0]
@@ -93,7 +94,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = column(batch, "row_key").to_numpy()
         new = _new_texts(keys, seen)
-        for words in word_slices(column(batch, "text")):
+        for words in word_slices(column(batch, "text"), SLICE):
             text, *rest = record_table(words)
             whole = rest[1] >= MIN_TOKENS
             keep = whole & new[words.first + text]
@@ -144,7 +145,7 @@ def _overview(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = column(batch, "row_key").to_numpy()
         new = _new_texts(keys, seen)
-        for words in word_slices(column(batch, "text")):
+        for words in word_slices(column(batch, "text"), SLICE):
             text, _, n, leaf, *_ = record_table(words)
             keep = (n >= MIN_TOKENS) & new[words.first + text]
             leaf, counts = np.unique(_leaves_by_text(text[keep], leaf[keep])[1], return_counts=True)  # summed before any shuffle
@@ -321,7 +322,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, run_tokens: int = 5
         for batch in batches:
             lists = column(batch, numbers).to_pylist()
             texts, lost = [], [0] * batch.num_rows
-            for words in word_slices(column(batch, "text")):
+            for words in word_slices(column(batch, "text"), SLICE):
                 for k in range(words.n_texts):
                     found = np.array(lists[words.first + k] or [], dtype=np.int64)
                     if len(found):

@@ -22,6 +22,7 @@ SAMPLE = 4000  # documents of either label that the model may be fitted on
 BITS = 20
 BEGINNING = 5  # bytes of a word's beginning
 STEPS = 150
+SLICE = 300_000  # bytes of text in work at a time
 MIN_DOCS = 4  # sample documents that a feature must occur in to have a weight
 
 
@@ -81,7 +82,7 @@ def _documents_by_feature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     """(label, feature, n): how many documents of a batch have a feature."""
     for batch in batches:
         labels, counts = column(batch, "label").to_numpy(), np.zeros((2, 1 << BITS), dtype=np.int32)
-        for words in word_slices(column(batch, "text")):
+        for words in word_slices(column(batch, "text"), SLICE):
             found = sentence_features(words)[0]
             for k, (at, to) in enumerate(zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist())):
                 counts[labels[words.first + k]][np.unique(found[at:to])] += 1
@@ -98,7 +99,7 @@ def _occurrences(features: np.ndarray):
         place[features] = np.arange(len(features), dtype=np.int32)
         for batch in batches:
             docs = column(batch, "doc").to_numpy()
-            for words in word_slices(column(batch, "text")):
+            for words in word_slices(column(batch, "text"), SLICE):
                 found, sentence, text = sentence_features(words)
                 at, which = np.nonzero(place[found] >= 0)
                 sentence = sentence[at]
@@ -163,7 +164,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, s
 
 
 def _scores(model: ToxicityModel, texts: pa.Array) -> Iterator[tuple[Words, np.ndarray, np.ndarray, np.ndarray]]:
-    for words in word_slices(texts):
+    for words in word_slices(texts, SLICE):
         features, sentence, text = sentence_features(words)
         p = model.sentences(features, sentence, len(text))
         yield words, noisy_or(p, text, words.n_texts), p, text
