@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from catalog.registry import longs, query, r, rounded
-from catalog.views import RISK_SQL, flagged_sql, raw_risk
+from catalog.views import RISK_SQL, flagged_sql, forest_sql, raw_risk
 from ledgerline.functions.times import epoch_micros
 from ledgerline.operators import forest, risk
 from ledgerline.operators.cleaning import clean_risk
@@ -212,15 +212,7 @@ FOREST_NODES = [
 FOREST = forest.IsolationForestModel(
     FOREST_FEATURES, 256, 3, -0.58, pd.DataFrame(FOREST_NODES, columns=["tree", "node", "feature", "threshold", "left", "right", "path"])
 )
-_STEP = "SELECT c.txn_id, c.x, c.tree, CASE WHEN c.x[n.feature + 1] <= n.threshold THEN n.l ELSE n.r END AS node FROM {} c JOIN nodes n USING (tree, node)"
-FOREST_SQL = f""",
-nodes(tree, node, feature, threshold, l, r, path) AS (SELECT t, n, greatest(f, 0), h, a, b, p FROM (VALUES {", ".join(map(str, FOREST_NODES))}) AS v(t, n, f, h, a, b, p)),
-c0 AS (SELECT txn_id, [{", ".join(f"coalesce(CAST({c} AS DOUBLE), 0)" for c in FOREST_FEATURES)}] AS x, tree, 0 AS node FROM x, (SELECT DISTINCT tree FROM nodes)),
-c1 AS ({_STEP.format("c0")}),
-c2 AS ({_STEP.format("c1")}),
-c3 AS ({_STEP.format("c2")}),
-scores AS (SELECT txn_id, pow(2, -sum(path) / (4 * {float(forest.mean_path(256))!r})) AS anomaly_score FROM c3 JOIN nodes USING (tree, node) GROUP BY 1),
-found AS (SELECT x.*, anomaly_score, -anomaly_score + 0.58 AS forest_decision FROM x JOIN scores USING (txn_id))"""
+FOREST_SQL = forest_sql("x", FOREST_FEATURES, FOREST_NODES, 3, 256, -0.58)
 
 
 @query("forest_score", f"{X}{FOREST_SQL} SELECT txn_id, {r('anomaly_score', 9)} AS anomaly_score FROM found")

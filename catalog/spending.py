@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from catalog.registry import longs, query, r, rounded
@@ -11,6 +12,7 @@ from catalog.views import (
     ORDERS_SQL,
     event_facts,
     events,
+    forest_sql,
     lineitem_facts,
     order_facts,
     table,
@@ -23,6 +25,7 @@ from ledgerline.operators import (
     evaluate,
     features,
     forecast,
+    forest,
     insights,
     patterns,
     profile,
@@ -282,23 +285,32 @@ def months_present(spark, sf):
 # ------------------------------------------------------------------ profile
 
 
+EVENT_COLUMNS = ["txn_id", "timestamp", "cc_num", "category", "amount", "k", "merchant", "city", "state", "code"]
+LINEITEM_COLUMNS = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+    "l_returnflag", "l_linestatus", "l_shipdate",
+]
+
+
 @query(
     "profile_nulls",
-    f"""{EV}, v AS (SELECT *, CASE WHEN k % 17 <> 0 THEN k END AS code FROM f) SELECT count(*) AS rows, count(*) - count(txn_id) AS null_txn_id, count(*) - count(amount) AS null_amount,
-    count(*) - count(category) AS null_category, count(*) - count(code) AS null_code, count(DISTINCT category) AS labels,
+    f"""{EV}, v AS (SELECT txn_id, ts AS timestamp, cc_num, category, amount, k, merchant_raw AS merchant, city, state, CASE WHEN k % 17 <> 0 THEN k END AS code FROM f)
+    SELECT count(*) AS rows, {", ".join(f"count(*) - count({c}) AS null_{c}" for c in EVENT_COLUMNS)}, count(DISTINCT category) AS labels,
     count(CASE WHEN amount <= 0 THEN 1 END) AS nonpositive_amounts FROM v""",
 )
 def profile_nulls(spark, sf):
-    rows = events(spark, sf).select("txn_id", "amount", "category", F.when(F.col("k") % 17 != 0, F.col("k")).alias("code"))
-    return profile.profile_nulls(rows)
+    return profile.profile_nulls(events(spark, sf).withColumn("code", F.when(F.col("k") % 17 != 0, F.col("k"))))
 
 
 @query(
     "profile_duplicates",
-    "WITH g AS (SELECT count(*) AS c FROM lineitem GROUP BY l_partkey, l_quantity, l_discount) SELECT CAST(sum(c - 1) AS BIGINT) AS duplicate_rows FROM g",
+    """WITH v AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 7 = 0), g AS (SELECT count(*) AS c FROM v GROUP BY {})
+    SELECT CAST(sum(c - 1) AS BIGINT) AS duplicate_rows FROM g""".format(", ".join(LINEITEM_COLUMNS)),
 )
 def profile_duplicates(spark, sf):
-    return profile.profile_duplicates(table(spark, sf, "lineitem").select("l_partkey", "l_quantity", "l_discount"))
+    """Whole rows of all columns; a seventh of the orders stand in the table twice."""
+    rows = table(spark, sf, "lineitem")
+    return profile.profile_duplicates(rows.unionByName(rows.where(F.col("l_orderkey") % 7 == 0)))
 
 
 @query("profile_labels", f"{EV} SELECT CASE WHEN k % 17 <> 0 THEN category END AS label, count(*) AS n FROM f GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
@@ -447,6 +459,40 @@ def anomaly_daily(spark, sf):
     return anomalies.anomaly_daily(marked).withColumn("date", F.col("date").cast("string"))
 
 
+# A fixed forest of three trees over the anomaly features: tree, node, feature, threshold, left, right, path.
+FOUND_NODES = [
+    (0, 0, 4, 85.50013, 1, 2, 0.0), (0, 1, 0, 4.5, 3, 4, 0.0), (0, 2, 6, 40.5, 5, 6, 0.0), (0, 3, -1, 1e300, 3, 3, 5.0), (0, 4, -1, 1e300, 4, 4, 9.0),
+    (0, 5, -1, 1e300, 5, 5, 2.5), (0, 6, -1, 1e300, 6, 6, 6.0),
+    (1, 0, 8, 1.70009, 1, 2, 0.0), (1, 1, -1, 1e300, 1, 1, 8.5), (1, 2, 3, 0.5, 3, 4, 0.0), (1, 3, -1, 1e300, 3, 3, 5.5), (1, 4, -1, 1e300, 4, 4, 3.0),
+    (2, 0, 7, 0.5, 1, 2, 0.0), (2, 1, 1, 4.5, 3, 4, 0.0), (2, 2, -1, 1e300, 2, 2, 2.0), (2, 3, -1, 1e300, 3, 3, 9.5), (2, 4, -1, 1e300, 4, 4, 7.0),
+]
+FOUND_FOREST = forest.IsolationForestModel(
+    anomalies.ANOMALY_FEATURES, 256, 2, -0.6, pd.DataFrame(FOUND_NODES, columns=["tree", "node", "feature", "threshold", "left", "right", "path"])
+)
+FOUND_SQL = (
+    f"{ANOMALY}, rare AS (SELECT *, CAST(merchant_freq <= 3 AS INT) AS is_rare_merchant FROM why)"
+    + forest_sql("rare", anomalies.ANOMALY_FEATURES, FOUND_NODES, 2, 256, -0.6)
+)
+
+
+def _found(spark, sf):
+    """The anomalies that the fixed forest finds, with their reasons."""
+    return FOUND_FOREST.decide(FOUND_FOREST.score_in_joins(_reasons(spark, sf))).where("is_anomaly")
+
+
+@query(
+    "found_anomaly_reasons",
+    f"{FOUND_SQL}, e AS (SELECT unnest(string_split(reasons, ',')) AS reason FROM found WHERE forest_decision < 0) SELECT reason, count(*) AS n FROM e GROUP BY 1",
+)
+def found_anomaly_reasons(spark, sf):
+    return risk.reason_counts(_found(spark, sf))
+
+
+@query("found_anomaly_daily", f"{FOUND_SQL} SELECT CAST(d AS VARCHAR) AS date, count(*) AS n FROM found WHERE forest_decision < 0 GROUP BY 1")
+def found_anomaly_daily(spark, sf):
+    return anomalies.anomaly_daily(_found(spark, sf)).withColumn("date", F.col("date").cast("string"))
+
+
 @query("multi_dim_anomalies")
 def multi_dim_anomalies(spark, sf):
     found = anomalies.multi_dim_anomalies(event_facts(spark, sf))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators.cleaning import clean
 from ledgerline.operators.facts import make_facts
+from ledgerline.operators.forest import mean_path
 
 # ------------------------------------------------------------------ tables
 
@@ -226,3 +227,16 @@ a AS (
 z AS (
   SELECT *, risk_score >= threshold OR hits >= {rules} AS is_alert FROM a)"""
     )
+
+
+def forest_sql(rows: str, features: list[str], nodes: list[tuple], depth: int, sample_size: int, offset: float) -> str:
+    """More tables: ``found`` holds ``rows`` with anomaly_score and forest_decision of a forest given by its nodes."""
+    trees = len({node[0] for node in nodes})
+    entries = ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0)" for c in features)
+    step = "SELECT c.txn_id, c.x, c.tree, CASE WHEN c.x[n.feature + 1] <= n.threshold THEN n.l ELSE n.r END AS node FROM c{} c JOIN nodes n USING (tree, node)"
+    levels = "".join(f",\nc{k + 1} AS ({step.format(k)})" for k in range(depth))
+    return f""",
+nodes(tree, node, feature, threshold, l, r, path) AS (SELECT t, n, greatest(f, 0), h, a, b, p FROM (VALUES {", ".join(map(str, nodes))}) AS v(t, n, f, h, a, b, p)),
+c0 AS (SELECT txn_id, [{entries}] AS x, tree, 0 AS node FROM {rows}, (SELECT DISTINCT tree FROM nodes)){levels},
+scores AS (SELECT txn_id, pow(2, -sum(path) / ({trees} * {float(mean_path(sample_size))!r})) AS anomaly_score FROM c{depth} JOIN nodes USING (tree, node) GROUP BY 1),
+found AS (SELECT {rows}.*, anomaly_score, -anomaly_score - ({offset}) AS forest_decision FROM {rows} JOIN scores USING (txn_id))"""

@@ -20,8 +20,18 @@ def profile_nulls(df: DataFrame, label: str = "category") -> DataFrame:
 
 
 def profile_duplicates(df: DataFrame) -> DataFrame:
-    """Rows that repeat an earlier row in all columns. Copies combine before the shuffle."""
-    copies = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias("_copies"))
+    """Rows that repeat an earlier row in all columns.
+
+    Rows are counted by a digest of 128 bits, so that only digests are shuffled; those that come more than once are then
+    compared in full, as two different rows might share one.
+    """
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    absent = F.concat(*(F.when(c.isNull(), F.lit("1")).otherwise(F.lit("0")) for c in columns))  # a hash passes NULL over
+    digest = [F.xxhash64(F.lit(seed), absent, *columns).alias(f"_digest_{seed}") for seed in (1, 2)]
+    names = ["_digest_1", "_digest_2"]
+    several = df.select(*digest).groupBy(*names).agg(F.count("*").alias("_n")).where("_n > 1").select(*names)
+    repeated = df.select("*", *digest).join(several, names, "left_semi")
+    copies = repeated.groupBy(*names, *columns).agg(F.count("*").alias("_copies"))
     return copies.agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
