@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,8 +44,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_OWNED: ContextVar[list[str] | None] = ContextVar("owned", default=None)  # paths of the innermost owner
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; it belongs to the innermost :func:`staged_tables`."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    owned = _OWNED.get()
+    if owned is not None:
+        owned.append(path)
+    return path
+
+
+@contextmanager
+def staged_tables(spark: SparkSession):
+    """Owns the tables that are staged in the block and deletes them at its end, after an error too.
+
+    Results of operators read from staged tables, so write or collect them within the block. Blocks may be nested: each
+    owns what is staged directly in it. Gives the list of owned paths.
+    """
+    owned: list[str] = []
+    token = _OWNED.set(owned)
+    try:
+        yield owned
+    finally:
+        _OWNED.reset(token)
+        for path in owned:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
