@@ -47,6 +47,14 @@ def test_tables_predict_as_the_model(spark, table, kind):
     assert len(set(own.values())) == 3
 
 
+@pytest.mark.parametrize("kind", ["rf", "mlp"])
+def test_fits_read_rows_in_as_many_tasks_as_cores(spark, table, kind, monkeypatch):
+    seen, fit = [], batch.Pipeline.fit
+    monkeypatch.setattr(batch.Pipeline, "fit", lambda self, rows: (seen.append(rows.rdd.getNumPartitions()), fit(self, rows))[1])
+    batch.fit_batch_classifier(table.coalesce(1), kind=kind, trees=2, max_depth=2, hidden=(2,), max_iterations=2)
+    assert seen == [spark.sparkContext.defaultParallelism] and seen[0] > 1
+
+
 def test_too_many_nodes_are_refused(spark, monkeypatch):
     nodes = spark.createDataFrame([(0, 0, -1, 1.0, 0, 0, 2.0)], forest.NODE_SCHEMA)
     monkeypatch.setattr(trees, "MOST_NODES", 0)
