@@ -2,8 +2,9 @@
 
 Pages are sorted by host, path and query. A page's text lines are aligned with those of its neighbours by longest common
 subsequence. Lines that both neighbours share are template, not text; so are those that the nearer one shares, unless it may
-be a copy. A neighbour that shares nearly all text is a copy, which says nothing about templates. Where an explicit article
-element says what the text is, its lines are the text: articles of one host may well share lines. Containers whose element,
+be a copy. A neighbour that shares nearly all text is a copy, which says nothing about templates. Of explicit article
+elements those with lines of the page's own are its text, so that teasers that stand on every page go. They are then kept
+whole and alone, since articles of one host may well share lines. Containers whose element,
 role or name says what they are (menus, adverts, forms, comments) fall as well, but of those with a name that may stand for
 text too, none that holds most of the page.
 """
@@ -55,7 +56,7 @@ ALONE_SHARE = 0.5  # of the longer text; a single neighbour that shares more may
 @dataclass
 class Line:
     text: str
-    inside: bool  # of an article element
+    inside: int  # number of the outermost article element, or 0
     skipped: bool  # of a container that is no text
     unsure: int  # number of the container with an unsure name, or 0
 
@@ -90,7 +91,7 @@ def page_lines(page: str | None) -> list[Line]:
         return lines
     stack: list[tuple[str, str]] = []
     counts = {"article": 0, "skip": 0, "unsure": 0, "": 0}
-    at = container = 0
+    at = container = article = 0
     parts: list[str] = []
 
     def flush() -> None:
@@ -98,11 +99,12 @@ def page_lines(page: str | None) -> list[Line]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                lines.append(Line(text, counts["article"] > 0, counts["skip"] > 0, container if counts["unsure"] else 0))
+                lines.append(Line(text, article if counts["article"] else 0, counts["skip"] > 0, container if counts["unsure"] else 0))
 
     def push(name: str, kind: str) -> None:
-        nonlocal container
+        nonlocal container, article
         container += kind == "unsure" and not counts["unsure"]
+        article += kind == "article" and not counts["article"]
         counts[kind] += 1
         stack.append((name, kind))
 
@@ -183,11 +185,9 @@ def shared_lines(mine: list[str], other: list[str]) -> set[int]:
     return found
 
 
-def main_text(lines: list[Line], neighbours: list[list[Line]]) -> str:
-    """The page's text, its nearest neighbour first."""
+def template_lines(lines: list[Line], neighbours: list[list[Line]]) -> set[int]:
+    """Positions of the lines that the neighbours, the nearest first, show to be template."""
     kept = [k for k, line in enumerate(lines) if not line.skipped]
-    if any(lines[k].inside for k in kept):
-        return "\n\n".join(lines[k].text for k in kept if lines[k].inside)
     evidence = []
     for other in neighbours:
         shared = shared_lines([x.text for x in lines], [x.text for x in other])
@@ -198,7 +198,20 @@ def main_text(lines: list[Line], neighbours: list[list[Line]]) -> str:
     template = evidence[0][0] & evidence[1][0] if len(evidence) == 2 else set()
     if evidence and evidence[0][1] < ALONE_SHARE:
         template |= evidence[0][0]
-    return "\n\n".join(lines[k].text for k in kept if k not in template)
+    return template
+
+
+def main_text(lines: list[Line], neighbours: list[list[Line]]) -> str:
+    """The page's text, its nearest neighbour first.
+
+    Differencing finds the page's own lines. Article elements that hold some of them are the text, whole and alone. Where
+    none does the own lines are, and where there are no own lines either, all article elements.
+    """
+    kept = [k for k, line in enumerate(lines) if not line.skipped]
+    template = template_lines(lines, neighbours)
+    own = [k for k in kept if k not in template]
+    articles = {lines[k].inside for k in own or kept if lines[k].inside}
+    return "\n\n".join(lines[k].text for k in (kept if articles else own) if not articles or lines[k].inside in articles)
 
 
 def _common_prefix(a: str, b: str) -> int:

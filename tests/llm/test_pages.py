@@ -35,6 +35,16 @@ def test_a_large_template_around_short_texts_goes(spark):
     assert texts(spark, rows)[1] == own_text[1]
 
 
+def test_differencing_tells_the_article_from_teasers(spark):
+    teaser = "<article><h2>Read this too</h2><p>A teaser that stands on every page.</p></article>"
+    own_text = [" ".join(f"{c} word {k} of its own" for k in range(9)) for c in "xyz"]
+    rows = [(f"http://h/a/{k}", f"{teaser}<article><p>Shared first line.</p><p>{own_text[k]}</p></article>{teaser}<p>Aside {k}</p>") for k in range(3)]
+    assert texts(spark, rows) == [f"Shared first line.\n\n{t}" for t in own_text]
+    rows = [(f"http://h/a/{k}", f"{teaser}<div>{own_text[k]}</div>") for k in range(3)]
+    assert texts(spark, rows) == own_text
+    assert own(f"<article>One</article>{teaser}") == "One\n\nRead this too\n\nA teaser that stands on every page."
+
+
 def test_copies_are_no_evidence(spark):
     body = "".join(f"<div>Line {k} of a story told twice</div>" for k in range(12))
     rows = [("http://h/a/1", body), ("http://h/b/1", body), ("http://h/c/1", body)]
