@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.sql import functions as F
 
 from ledgerline.operators import batch, categorizer, forest, trees
 from ledgerline.operators.forest_stage import FORMAT, IsolationForestStage
@@ -73,6 +74,18 @@ def test_optimality_tells_a_fit_from_an_early_stop(spark, table):
     assert worst[900] < 1e-4 < 1e-2 < worst[2]
 
 
+def test_a_fit_cuts_each_text_once(spark, table):
+    cut = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        cut.add(1)
+        return text
+
+    categorizer.fit_categorizer(table.withColumn("merchant", counted.asNondeterministic()("merchant")), numeric=[], max_iterations=3)
+    assert cut.value == table.count()
+
+
 def test_entries_equal_the_vectors(spark, table):
     model = categorizer.fit_categorizer(table, numeric=["amount"], max_iterations=1)
     own = {}
