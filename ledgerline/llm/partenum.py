@@ -19,7 +19,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -260,53 +261,59 @@ def _verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame, percent: in
     return pairs.join(left, "v").join(right, "u").where(linked("fu", "fv", F.lit(percent))).select("u", "v")
 
 
-def _within_pivots(members: DataFrame) -> DataFrame:
-    """Pairs of classes with one best-connected class that are not in one component and whose sketches allow a link.
-
-    Such classes share many signatures, so they meet here once and not at every signature.
-    """
+def _open_pair() -> Column:
+    """Whether classes x and y, each pair in one order, are in two components and have sizes and sketches that allow a link."""
     apart = F.aggregate(F.zip_with("x.coarse", "y.coarse", lambda a, b: F.abs(a - b).cast("int")), F.lit(0), lambda a, d: a + d)
-    condition = (
-        (F.col("x.pivot") == F.col("y.pivot"))
-        & (F.col("x.cls") < F.col("y.cls"))
+    return (
+        (F.col("x.cls") < F.col("y.cls"))
         & (F.col("x.root") != F.col("y.root"))
         & (4 * F.least("x.n", "y.n") >= 3 * F.greatest("x.n", "y.n"))
         & (7 * apart <= F.col("x.n") + F.col("y.n"))
     )
+
+
+def _within_pivots(members: DataFrame) -> DataFrame:
+    """Pairs of classes with one best-connected class that are not in one component and whose sketches allow a link.
+
+    Such classes share many signatures, so they meet here once and not at every signature.
+    """
+    condition = (F.col("x.pivot") == F.col("y.pivot")) & _open_pair()
     return members.alias("x").join(members.alias("y"), condition).select(F.col("x.cls").alias("u"), F.col("y.cls").alias("v"))
 
 
 def _across_pivots(groups: DataFrame, members: DataFrame) -> DataFrame:
-    """The other pairs of classes that share a signature and are not in one component."""
-    placed = groups.select("gid", "cls").join(members.select("cls", "n", "pivot", "root"), "cls")
+    """The other pairs of classes that share a signature both need, are not in one component and whose sketches allow a link."""
+    placed = groups.where("needed").select("gid", "cls").join(members.select("cls", "n", "coarse", "pivot", "root"), "cls")
     mixed = placed.groupBy("gid").agg(*(f(c).alias(f"{k}_{c}") for c in ("root", "pivot") for k, f in (("a", F.min), ("b", F.max))))
     mixed = mixed.where("a_root <> b_root AND a_pivot <> b_pivot").select("gid")
     placed = stage(placed.join(mixed, "gid"), "open-groups")
-    return (
-        placed.alias("x")
-        .join(placed.alias("y"), "gid")
-        .where("x.cls < y.cls AND x.root <> y.root AND x.pivot <> y.pivot AND 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n)")
-        .select(F.col("x.cls").alias("u"), F.col("y.cls").alias("v"))
-    )
+    condition = (F.col("x.gid") == F.col("y.gid")) & (F.col("x.pivot") != F.col("y.pivot")) & _open_pair()
+    return placed.alias("x").join(placed.alias("y"), condition).select(F.col("x.cls").alias("u"), F.col("y.cls").alias("v"))
 
 
 def _groups(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(gid, shared, cls) of the groups that can hold a link, after common signatures have been left out where they can."""
+    """(gid, shared, cls, needed) of the groups that can hold a link.
+
+    A class that can spare all its common signatures is left out of their groups. Of the others' common signatures the most
+    common ones, as many as the class can spare, are not ``needed``: linked classes also share one that both need.
+    """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, math.ceil(size * SIGNATURES_PER_BYTE / BUCKET_SIGNATURES))
     signed = docs.select("text").mapInArrow(_signed(buckets), SIGNED)
     grouped = signed.groupBy("bucket").applyInPandas(_grouped, GROUPED)
     groups = stage(grouped.groupBy("gid", "shared", "cls", "role").agg(F.sum("times").alias("times")), "signature-groups")
-    common = groups.where(F.col("shared") > COMMON).groupBy("cls", "role").agg(F.sum("times").alias("common"))
     spare = classes.groupBy("cls").agg(F.first("spare_own").alias("spare_own"), F.first("spare_next").alias("spare_next"))
-    spared = (
-        common.join(spare, "cls")
-        .where(F.col("common") < F.when(F.col("role") == 0, F.col("spare_own")).otherwise(F.col("spare_next")))
-        .select("cls", "role")
+    rare = groups.where(F.col("shared") <= COMMON).withColumn("needed", F.lit(True))
+    role = W.partitionBy("cls", "role")
+    most_common_first = role.orderBy(F.desc("shared"), F.desc("gid")).rowsBetween(W.unboundedPreceding, 0)
+    common = groups.where(F.col("shared") > COMMON).withColumns(
+        {"upto": F.sum("times").over(most_common_first), "all": F.sum("times").over(role)}
     )
-    rare = groups.where(F.col("shared") <= COMMON)
-    kept = groups.where(F.col("shared") > COMMON).join(spared, ["cls", "role"], "left_anti")
-    return stage(rare.unionByName(kept).groupBy("gid", "cls").agg(F.max("shared").alias("shared"), F.sum("times").alias("times")), "candidate-groups")
+    to_spare = F.when(F.col("role") == 0, F.col("spare_own")).otherwise(F.col("spare_next"))
+    kept = common.join(spare, "cls").where(F.col("all") >= to_spare).withColumn("needed", F.col("upto") >= to_spare)
+    every = rare.unionByName(kept.select(rare.columns)).groupBy("gid", "cls")
+    figures = [F.max("shared").alias("shared"), F.sum("times").alias("times"), F.max("needed").alias("needed")]
+    return stage(every.agg(*figures), "candidate-groups")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
