@@ -14,11 +14,12 @@ from ledgerline.operators.sequence import sequence_features
 from ledgerline.session import with_row_key
 from ledgerline.sources.headers import RISK_HEADERS
 
-# Model features, rules in their order, and default limits.
+# Model features, columns the sequence features are made of, rules in their order, and default limits.
 RISK_FEATURES = [
     "hour", "dayofweek", "is_weekend", "amount", "amount_z", "roll_cnt_N", "roll_sum_N", "roll_max_N",
     "prev_txn_delta_min", "merchant_conc_ewm", "rapid_swipes", "repeat_small_charge", "geo_dist_km",
 ]
+SEQUENCE_COLUMNS = ["cc_num", "timestamp", "merchant", "amount"]
 RULES = ["high_z", "rapid_swipes", "repeat_small", "geo_jump", "velocity_spike"]
 Z_CUT = 4.0
 GEO_KM = 1000.0
@@ -56,12 +57,17 @@ def risk_base(df: DataFrame, label: bool = False) -> DataFrame:
     return base
 
 
-def risk_features(df: DataFrame, baseline: bool = False, **options) -> DataFrame:
-    """Clean risk rows with sequence, calendar and distance features."""
+def risk_features(df: DataFrame, baseline: bool = False, model_only: bool = False, **options) -> DataFrame:
+    """Clean risk rows with sequence, calendar and distance features.
+
+    ``model_only`` leaves out, before the rows are ordered, the columns that no model feature is made of.
+    """
     ts = F.col("timestamp")
     rows = geo_distance(clean_risk(df)).withColumns(
         {"hour": F.hour(ts), "dayofweek": times.day_of_week(ts), "is_weekend": times.is_weekend(ts)}
     )
+    if model_only:
+        rows = rows.select("txn_id", *SEQUENCE_COLUMNS, *[c for c in RISK_FEATURES if c in rows.columns and c not in SEQUENCE_COLUMNS])
     return sequence_features(rows, baseline=baseline, **options)
 
 

@@ -27,7 +27,7 @@ CONTAMINATION = 0.02
 
 
 def fit_risk_model(df: DataFrame, seed: int = 42) -> IsolationForestModel:
-    features = stage(risk_features(risk_base(df)), "risk-features")
+    features = stage(risk_features(risk_base(df), model_only=True).select("txn_id", *RISK_FEATURES), "risk-features")
     model, _ = fit_isolation_forest(features, RISK_FEATURES, TREES, SAMPLE_SIZE, CONTAMINATION, seed)
     return model
 
