@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,19 +48,29 @@ def leaves(rows: DataFrame, nodes: DataFrame, trees: int, depth: int, x: str = "
     return at.drop(x).join(F.broadcast(nodes.select("place", *values)), "place").drop("place")
 
 
-def weighted_sums(x: Column, weights: list[list[float]], bias: list[float]) -> Column:
-    """For each output the sum of the entries of ``x`` times its weights, plus its bias."""
-    rows = F.array(*(F.struct(F.array(*map(F.lit, w)).alias("w"), F.lit(b).alias("b")) for w, b in zip(weights, bias)))
-    return F.transform(rows, lambda r: r["b"] + F.aggregate(F.zip_with(x, r["w"], lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
+def layer_scores(rows: DataFrame, layers: list[tuple[list[list[float]], list[float]]], key: str, x: str = "x") -> DataFrame:
+    """(``key``, scores): inputs of the last layer's outputs, with a sigmoid after each earlier layer, for the array ``x``.
 
+    ``layers`` holds the weights of each output by input, and the biases. A hidden layer is a table of its units, which each
+    row is joined with: a unit's output is computed once, and its weights times it are summed by ``key``, which is unique and
+    not NULL. Sums are written out, as functions over arrays are not compiled.
+    """
 
-def layer_scores(x: Column, layers: list[tuple[list[list[float]], list[float]]]) -> Column:
-    """Inputs of the last layer's outputs, with a sigmoid after each earlier layer."""
-    for k, (weights, bias) in enumerate(layers):
-        x = weighted_sums(x, weights, bias)
-        if k < len(layers) - 1:
-            x = F.transform(x, lambda z: 1 / (1 + F.exp(-z)))
-    return x
+    def unit_sum(weight: Callable[[int], Column]) -> Column:
+        return reduce(add, (F.get(x, F.lit(k)) * weight(k) for k in range(len(layers[0][0][0]))), F.lit(0.0))
+
+    at = rows.select(key, x)
+    if len(layers) == 1:
+        weights, bias = layers[0]
+        return at.select(key, F.array(*(F.lit(b) + unit_sum(lambda k, w=w: F.lit(w[k])) for w, b in zip(weights, bias))).alias("scores"))
+    for depth, ((weights, bias), (after, after_bias)) in enumerate(zip(layers, layers[1:])):
+        units = [(k, w, b, list(v)) for k, (w, b, v) in enumerate(zip(weights, bias, zip(*after)))]
+        units = F.broadcast(rows.sparkSession.createDataFrame(units, "_unit int, _w array<double>, _b double, _v array<double>"))
+        z = F.get(x, "_unit") if depth else F.col("_b") + unit_sum(lambda k: F.get("_w", F.lit(k)))
+        outputs = at.crossJoin(units).select(key, (1 / (1 + F.exp(-z))).alias("_h"), "_v")
+        sums = [F.lit(b) + F.sum(F.col("_h") * F.get("_v", F.lit(k))) for k, b in enumerate(after_bias)]
+        at = outputs.groupBy(key).agg(F.array(*sums).alias(x))
+    return at.select(key, F.col(x).alias("scores"))
 
 
 def first_highest(scores: Column) -> Column:
