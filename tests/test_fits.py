@@ -1,13 +1,15 @@
 """Fits over blocks of rows against MLlib's own, numeric derivatives and plain matrices."""
 
+import math
+
 import numpy as np
 import pytest
-from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import functions as F
 
-from ledgerline.operators import perceptron, trees
+from ledgerline.operators import perceptron, random_forest, trees
 from ledgerline.operators.blocks import row_blocks
+from ledgerline.session import stage
 
 COLUMNS = {"featuresCol": "f", "labelCol": "y", "predictionCol": "p"}
 
@@ -99,3 +101,112 @@ def test_layers_as_tables(spark, sizes):
 def test_layers_of_no_rows(spark):
     rows = spark.createDataFrame([], "id long, x array<double>")
     assert trees.layer_scores(rows, [([[1.0]], [0.0]), ([[1.0]], [0.0])], "id").count() == 0
+
+
+def test_bins_hold_few_values_each_and_many_by_rank(spark):
+    rng = np.random.default_rng(8)
+    x = np.column_stack([rng.integers(0, 24, 20000), rng.normal(size=20000), np.full(20000, 3.0), rng.integers(0, 2, 20000)])
+    x[:-1, 3] = 0.0  # one row alone has another value
+    x[-1, 3] = 1.0
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>").repartition(3).select(array_to_vector("x").alias("f"))
+    edges = random_forest.bin_edges(df, "f", 4, 32)
+    assert edges[0].tolist() == [k + 0.5 for k in range(23)] and not len(edges[2]) and edges[3].tolist() == [0.5]
+    shares = [(x[:, 1] <= e).mean() for e in edges[1]]
+    assert len(shares) == 31 and np.allclose(shares, np.arange(1, 32) / 32, atol=0.003)
+
+
+def test_samples_are_poisson_and_repeat():
+    limits = random_forest.poisson_limits(1.0)
+    rows, times = random_forest.drawn(3, 1, 7, 200_000, limits)
+    again = random_forest.drawn(3, 1, 7, 200_000, limits)
+    assert (rows == again[0]).all() and (times == again[1]).all()
+    assert len(random_forest.drawn(3, 2, 7, 200_000, limits)[0]) != len(rows)
+    share = 1 - len(rows) / 200_000
+    for k in range(5):
+        expected = np.exp(-1.0) / math.factorial(k)
+        assert abs((share if k == 0 else (times == k).mean() * (1 - share)) - expected) < 0.005
+
+
+def test_best_splits_by_hand():
+    counts = np.random.default_rng(4).integers(0, 9, (6, 3, 5, 3))
+    counts[:, 1:] = np.sort(counts[:, :1], axis=2)  # all features of a node hold the same rows
+    counts[5] = 0
+    counts[5, :, 2, 1] = 4  # one class, one bin
+    counts[4] = 0
+    counts[4, :, 2, :] = 4  # three classes, one bin
+    feature, limit, gain, total, left = random_forest.best_splits(counts, 1, 0.0)
+    gini = lambda c: 1 - ((c / c.sum()) ** 2).sum()
+    for node in range(6):
+        gains = []
+        for f in range(3):
+            for b in range(4):
+                low, high = counts[node, f, : b + 1].sum(axis=0), counts[node, f, b + 1 :].sum(axis=0)
+                if low.sum() and high.sum():
+                    whole = low + high
+                    gains.append((gini(whole) - (gini(low) * low.sum() + gini(high) * high.sum()) / whole.sum(), f, b))
+        assert gain[node] == pytest.approx(max(gains)[0] if gains else 0.0, abs=1e-9)
+        if node < 4:
+            low = counts[node, feature[node], : limit[node] + 1].sum(axis=0)
+            assert (low == left[node]).all() and (total[node] == counts[node, 0].sum(axis=0)).all()
+
+
+@pytest.fixture(scope="module")
+def forest_settings():
+    return RandomForestClassifier(numTrees=12, maxDepth=6, seed=9, **COLUMNS)
+
+
+def nodes_of(spark, model, path):
+    model.write().overwrite().save(path)
+    rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()
+    return {(r.treeID, r.id): r for r in rows}
+
+
+def test_leaves_hold_the_rows_that_come_to_them(spark, labelled, forest_settings, tmp_path):
+    """Each tree's sample, drawn again and sent down by the saved limits, leaves the saved class counts in every leaf."""
+    staged = stage(labelled, "labelled")
+    nodes = nodes_of(spark, random_forest.BlockForest(forest_settings).fit(staged), str(tmp_path / "own"))
+    assert {t for t, _ in nodes} == set(range(12))
+    limits = random_forest.poisson_limits(1.0)
+    blocks = row_blocks(staged, "f", "y", 4, random_forest.BLOCK_ROWS).collect()
+    for tree in range(12):
+        found = {}
+        for block, x, y in blocks:
+            for row, times in zip(*random_forest.drawn(9, tree, block, len(y), limits)):
+                node = nodes[tree, 0]
+                while node.leftChild >= 0:
+                    left = x[node.split.featureIndex, row] <= node.split.leftCategoriesOrThreshold[0]
+                    node = nodes[tree, node.leftChild if left else node.rightChild]
+                found.setdefault(node.id, np.zeros(3))[y[row]] += times
+        leaves = {k: n.impurityStats for (t, k), n in nodes.items() if t == tree and n.leftChild < 0}
+        assert {k: v.tolist() for k, v in found.items()} == leaves and len(leaves) > 10
+        for (t, _), n in nodes.items():  # leaves side by side predict differently
+            if t == tree and n.leftChild >= 0:
+                pair = [nodes[tree, n.leftChild], nodes[tree, n.rightChild]]
+                assert pair[0].leftChild >= 0 or pair[1].leftChild >= 0 or pair[0].prediction != pair[1].prediction
+
+
+def test_forest_fits_as_well_as_the_library(labelled, drawn, forest_settings):
+    library, own = forest_settings.fit(labelled), random_forest.BlockForest(forest_settings).fit(labelled)
+    right = [m.transform(labelled).where("p = y").count() / len(drawn[1]) for m in (library, own)]
+    assert right[1] > right[0] - 0.02 and right[1] > 0.85
+    assert type(own) is type(library) and own.getNumTrees == 12 and own.getMaxDepth() == 6 and own.numClasses == 3
+    assert max(t.depth for t in own.trees) <= 6
+
+
+def test_trees_do_not_depend_on_the_passes(spark, labelled, forest_settings, tmp_path, monkeypatch):
+    staged, passes = stage(labelled, "labelled"), []
+    split = random_forest.split_nodes
+    monkeypatch.setattr(random_forest, "split_nodes", lambda *a: (passes.append(len(a[1])), split(*a))[1])
+    found = []
+    for k, size in enumerate((64 << 20, 40_000)):
+        monkeypatch.setattr(random_forest, "COUNT_BYTES", size)
+        found.append(nodes_of(spark, random_forest.BlockForest(forest_settings).fit(staged), str(tmp_path / str(k))))
+        passes.append(0)
+    first = passes.index(0)
+    assert found[0] == found[1] and first <= 6 < len(passes) - first - 2
+
+
+def test_a_forest_of_one_class_is_of_leaves(spark):
+    rows = spark.createDataFrame([([float(k)], 0.0) for k in range(50)], "x array<double>, y double").select(array_to_vector("x").alias("f"), "y")
+    model = random_forest.BlockForest(RandomForestClassifier(numTrees=3, **COLUMNS)).fit(rows)
+    assert model.totalNumNodes == 3 and model.transform(rows).where("p = 0").count() == 50
