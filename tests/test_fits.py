@@ -1,13 +1,15 @@
 """Fits over blocks of rows against MLlib's own, numeric derivatives and plain matrices."""
 
 import math
+from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 
-from ledgerline.operators import perceptron, random_forest, trees
+from ledgerline.operators import forest, perceptron, random_forest, trees
 from ledgerline.operators.blocks import row_blocks
 from ledgerline.session import stage
 
@@ -208,5 +210,30 @@ def test_trees_do_not_depend_on_the_passes(spark, labelled, forest_settings, tmp
 
 def test_a_forest_of_one_class_is_of_leaves(spark):
     rows = spark.createDataFrame([([float(k)], 0.0) for k in range(50)], "x array<double>, y double").select(array_to_vector("x").alias("f"), "y")
-    model = random_forest.BlockForest(RandomForestClassifier(numTrees=3, **COLUMNS)).fit(rows)
+    model = random_forest.BlockForest(RandomForestClassifier(numTrees=3, seed=-5, **COLUMNS)).fit(rows)
     assert model.totalNumNodes == 3 and model.transform(rows).where("p = 0").count() == 50
+
+
+def test_rows_are_joined_once_with_all_trees(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 3))
+    x[0, 0], x[1, 1], x[2, 0] = np.nan, np.inf, -np.inf
+    grown = [forest.grow_tree(rng.normal(size=(60, 3)), rng, 5).assign(tree=t) for t in range(4)]
+    grown.append(grown[0].iloc[:1].assign(feature=-1, threshold=np.inf, left=0, right=0, path=7.5, tree=4))  # a leaf alone
+    nodes = spark.createDataFrame(pd.concat(grown)[["tree", "node", "feature", "threshold", "left", "right", "path"]], forest.NODE_SCHEMA)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, x array<double>")
+    reached = trees.leaves(rows, trees.node_table(nodes.repartition(3), "path"), 5, 5)
+    found = {k: sorted(r.path for r in part) for k, part in groupby(sorted(reached.collect()), key=lambda r: r.id)}
+    for k, v in enumerate(x):
+        own = []
+        for tree in grown:
+            at = tree.iloc[0]
+            while at.left != at.node:
+                at = tree.iloc[int(at.left if v[int(at.feature)] <= at.threshold else at.right)]
+            own.append(at.path)
+        assert found[k] == sorted(own)
+    # A join for each level would look each row of each tree up in a table of all nodes that many times.
+    plan = reached._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+    with pytest.raises(ValueError):
+        trees.leaves(rows, trees.node_table(nodes, "path"), 6, 5)
